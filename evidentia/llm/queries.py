@@ -1,12 +1,13 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import chat, decontamination, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from . import chat, decontamination, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_token_ids": tokens.op1_token_ids,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_chat_windows": chat.op3_chat_windows,
     "op4_entropy_mix": mixing.op4_entropy_mix,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_shards": sharding.op7_byte_shards,
     "op8_license_scan": licenses.op8_license_scan,
