@@ -23,26 +23,27 @@ from . import common
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage has to reach, and the share of shingles that question and answer each need.
-THRESHOLD, OVERLAP = 0.5, 0.5
+THRESHOLD, OVERLAP = 0.6, 0.5
 SHINGLE = 5
 POSTINGS_PER_BLOCK = 64
-#: Items whose bounds are joined when passages are first looked over.
-RANGE = 4
+#: What the commonest terms may add to a score altogether: they are left out when passages are first looked over.
+SLACK = 0.15
 #: Characters of item text in one broadcast index; more items make more blocks, each meeting all passages.
 BLOCK_CHARS = 8_000_000
 
-_WORD = re.compile(r"\w+")
+#: Bytes of ASCII that are no letter or digit part words; all beyond ASCII belong to them.
+_APART = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def words_of(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "surrogatepass").translate(_APART).split()
 
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
+def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
-def halves(text: str) -> tuple[list[str], list[str]]:
+def halves(text: str) -> tuple[list[bytes], list[bytes]]:
     """Question and answer of an item: parted at the sentence end nearest to its middle, else in the middle."""
     n = len(words_of(text))
     ends = [len(words_of(text[: m.end()])) for m in re.finditer(r"[.?!:](?=\s)", text)]
@@ -58,7 +59,7 @@ class Index:
         self.reach, self.ids = reach, [i for i, _ in items]
         lists = [words_of(t) for _, t in items]
         mean = sum(map(len, lists)) / len(lists)
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         df = Counter(w for ws in lists for w in set(ws))
         for k, ws in enumerate(lists):
             own = {w: math.log(1 + (len(lists) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
@@ -70,15 +71,18 @@ class Index:
         self.impacts = [[]] + [[x for _, x in p] for p in postings.values()]
         self.block_max = [[max(x[i : i + POSTINGS_PER_BLOCK]) for i in range(0, len(x), POSTINGS_PER_BLOCK)] for x in self.impacts]
         self.bound = np.array([max(x, default=0.0) for x in self.impacts])
-        # the same bounds by ranges of RANGE items, as one sparse row per term
-        self.n_ranges = -(-len(items) // RANGE)
-        rows = [{} for _ in self.docs]
-        for t, (ks, xs) in enumerate(zip(self.docs, self.impacts, strict=True)):
-            for k, x in zip(ks, xs, strict=True):
-                rows[t][k // RANGE] = max(rows[t].get(k // RANGE, 0.0), x)
+        # the other terms' postings as sparse rows; the bounds of those left out sum to the slack at most
+        order = sorted(range(1, len(self.docs)), key=lambda t: -len(self.docs[t]))
+        rest = SLACK - np.cumsum([self.bound[t] for t in order])
+        few = set(order[: int((rest >= 0).sum())])
+        rows = [[] if t in few else self.docs[t] for t in range(len(self.docs))]
+        self.slack = float(sum(self.bound[t] for t in few))
         self.row_at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-        self.row_range = np.array([r for row in rows for r in row], np.int64)
-        self.row_bound = np.array([x for row in rows for x in row.values()])
+        self.row_item = np.array([k for row in rows for k in row], np.int64)
+        self.row_impact = np.array([x for t, row in enumerate(rows) if row for x in self.impacts[t]])
+        self.all_at = np.concatenate([[0], np.cumsum([len(r) for r in self.docs])])
+        self.all_item = np.array([k for row in self.docs for k in row], np.int64)
+        self.all_impact = np.array([x for row in self.impacts for x in row])
         self.parts = [tuple(map(shingles, halves(t))) for _, t in items]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -124,7 +128,7 @@ class Index:
         for t in terms:
             at[t] = bisect_left(self.docs[t], doc, at[t])
 
-    def found(self, words: list[str], threshold: float, overlap: float) -> dict[int, tuple[float, float, float, int]]:
+    def found(self, words: list[bytes], threshold: float, overlap: float) -> dict[int, tuple[float, float, float, int]]:
         """item -> (score, question overlap, answer overlap, first word of the passage) for a whole document."""
         get = self.terms.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
@@ -133,7 +137,9 @@ class Index:
         for s in starts:
             terms = np.unique(ids[s : s + 2 * self.reach])
             terms = terms[terms > 0]
-            if self.bound[terms].sum() < threshold - 1e-9:
+            n = self.all_at[terms + 1] - self.all_at[terms]
+            at = np.repeat(self.all_at[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            if np.bincount(self.all_item[at], self.all_impact[at], 1).max() < threshold - 1e-9:
                 continue
             hits = self.search(terms.tolist(), threshold)
             passage = shingles(words[s : s + 2 * self.reach]) if hits else set()
@@ -145,25 +151,26 @@ class Index:
         return {self.ids[k]: (x, q, a, -s) for k, (x, q, a, s) in best.items()}
 
     def possible(self, ids: np.ndarray, threshold: float) -> list[int]:
-        """First words of the passages in which some range of items could reach the threshold.
+        """First words of the passages in which some item could reach the threshold.
 
-        A passage is two stretches of `reach` words, and its bound the sum of theirs.
+        A passage is two stretches of `reach` words, and its bound the sum of theirs and the slack.
         """
-        size = len(self.bound)
-        held = np.unique(np.nonzero(ids)[0] // self.reach * size + ids[ids > 0])
+        size, n_items = len(self.bound), len(self.ids)
+        there = np.nonzero(self.row_at[ids + 1] - self.row_at[ids])[0]
+        held = np.unique(there // self.reach * size + ids[there])
         stretch, term = held // size, held % size
         n = self.row_at[term + 1] - self.row_at[term]
         total = int(n.sum())
         if not total:
-            return []
+            return [] if self.slack < threshold else list(range(0, len(ids), self.reach))
         at = np.repeat(self.row_at[term] - (np.cumsum(n) - n), n) + np.arange(total)
         stretches = max(2, -(-len(ids) // self.reach))
-        sums = np.bincount(np.repeat(stretch, n) * self.n_ranges + self.row_range[at], self.row_bound[at], stretches * self.n_ranges).reshape(stretches, self.n_ranges)
-        reached = ((sums[:-1] + sums[1:]) >= threshold - 1e-9).any(axis=1)
+        sums = np.bincount(np.repeat(stretch * n_items, n) + self.row_item[at], self.row_impact[at], stretches * n_items).reshape(stretches, n_items)
+        reached = ((sums[:-1] + sums[1:]) >= threshold - self.slack - 1e-9).any(axis=1)
         return (np.nonzero(reached)[0] * self.reach).tolist()
 
     @staticmethod
-    def _share(part: set, passage: set, words: list[str]) -> float:
+    def _share(part: set, passage: set, words: list[bytes]) -> float:
         if not part:
             return 1.0
         short = next(iter(part))

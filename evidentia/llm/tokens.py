@@ -11,6 +11,7 @@ against lost executors, and any store that Spark reaches can hold them.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from . import common
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
 #: Words up to this length are kept in a worker's memory, at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 40, 200_000
+CACHE_CHARS, CACHE_WORDS = 40, 400_000
 
 BLOCKS = "shard int, block int, start_in_shard long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
@@ -93,26 +94,69 @@ class WordEncoder:
     """Ids of whole texts, with a bounded memory of the words met before.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text
-    are those of its parts between blanks..
+    are those of its parts between blanks. Nor does it join letters with the ASCII marks that follow them,
+    save for apostrophes; and a run of letters alone ends in the one token that ends a word, so new runs
+    are encoded together and told apart by these tokens.
     """
 
+    _LETTERS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> dict[str, bytes]:
+        return dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)), strict=True))
+
+    def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(cuts) != len(runs):
+            return self._each(runs)
+        raw = ids.tobytes()
+        return {w: raw[a:b] for w, a, b in zip(runs, [0, *cuts], cuts, strict=False)}
+
+    def _learned(self, missing: list[str]) -> dict[str, bytes]:
+        parted, others = [], []
+        for w in missing:
+            m = self._LETTERS.fullmatch(w)
+            if m and m[1].isalpha() and m[1].lower().isalpha():
+                parted.append((w, m[1], m[2]))
+            else:
+                others.append(w)
+        runs = list({r for _, r, _ in parted if r not in self.known})
+        marks = list({t for _, _, t in parted if t not in self.known})
+        new = (self._runs(runs) if runs else {}) | (self._each(others + marks) if others or marks else {})
+        get = lambda w: self.known[w] if w in self.known else new[w]
+        for w, run, tail in parted:
+            new[w] = get(run) + get(tail)
+        return new
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         known = self.known
-        if missing := [w for w in set(words) if w not in known]:
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
             if len(known) > CACHE_WORDS:
                 known = self.known = {"": b""}
-                missing = list(set(words) - {""})
-            found = dict(zip(missing, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
+            found = self._learned([w for w in set(words) if w not in known])
             known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
-            if any(len(w) > CACHE_CHARS for w in missing):
-                return b"".join([known[w] if w in known else found[w] for w in words])
-        return b"".join([known[w] for w in words])
+            return b"".join([known[w] if w in known else found[w] for w in words])
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """The worker's own encoder, which keeps its words from one task to the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -127,7 +171,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        ids_of, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         shard, at, start = TaskContext.get().partitionId(), 0, 0
         doc_ids, lengths, parts, held = [], [], [], 0
 

@@ -144,7 +144,7 @@ def standing_out(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str],
     bad, good = counts.get(1, 0), counts.get(0, 0)
     by_word = common.save(sample.mapInPandas(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).where("all > 1 OR bad = 0"), "words")
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("all") - F.col("bad") + 0.5) / (good + 1))
-    out = by_word.withColumn("odds", odds).where("bad >= 3 AND odds > 3").orderBy(F.desc("bad"), "word").limit(STANDING_OUT)
+    out = by_word.withColumn("odds", odds).where((F.col("bad") >= max(3, bad // 100)) & (F.col("odds") > 3)).orderBy(F.desc("bad"), "word").limit(STANDING_OUT)
     frequent = by_word.where(F.col("all") > 2 * F.col("bad")).orderBy(F.desc("all"), "word").limit(ORDINARY // 2)
     others = by_word.where("bad = 0").orderBy(F.xxhash64("word"), "word").limit(ORDINARY // 2)
     return [(w, o) for w, o in out.select("word", "odds").collect()], sorted({r.word for r in frequent.unionByName(others).select("word").collect()}), bad, good
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
         words = list(counts.index)
         x = np.vstack([embedded(words), against])
         y = np.array([1.0] * len(words) + [-1.0] * len(clean))
-        up = np.log1p(counts.to_numpy())
+        up = counts.to_numpy().astype(float)
         w, bias = svm(x, y, np.concatenate([up * len(clean) / up.sum(), np.full(len(clean), 2.0)]))
         model = Model((root @ w) @ dense.astype(np.float64), bias, 1.0, 0.0)
         scorer = Scorer(model)
