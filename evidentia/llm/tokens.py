@@ -26,7 +26,7 @@ from . import common
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
 #: Words up to this length are kept in a worker's memory, at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 40, 400_000
+CACHE_CHARS, CACHE_WORDS = 40, 800_000
 
 BLOCKS = "shard int, block int, start_in_shard long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
@@ -131,10 +131,15 @@ class WordEncoder:
         runs = list({r for _, r, _ in parted if r not in self.known})
         marks = list({t for _, _, t in parted if t not in self.known})
         new = (self._runs(runs) if runs else {}) | (self._each(others + marks) if others or marks else {})
-        get = lambda w: self.known[w] if w in self.known else new[w]
+        # a run met for the first time is kept without its marks
+        once = {}
         for w, run, tail in parted:
-            new[w] = get(run) + get(tail)
-        return new
+            if run in new:
+                once[w] = new[run] + (self.known[tail] if tail in self.known else new[tail])
+            else:
+                new[w] = self.known[run] + (self.known[tail] if tail in self.known else new[tail])
+        self.known.update((w, x) for w, x in new.items() if len(w) <= CACHE_CHARS)
+        return new | once
 
     def __call__(self, text: str) -> bytes:
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -145,7 +150,6 @@ class WordEncoder:
             if len(known) > CACHE_WORDS:
                 known = self.known = {"": b""}
             found = self._learned([w for w in set(words) if w not in known])
-            known.update((w, x) for w, x in found.items() if len(w) <= CACHE_CHARS)
             return b"".join([known[w] if w in known else found[w] for w in words])
 
 

@@ -236,11 +236,11 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
 
     pairs = sample.select("text", "toxic").mapInPandas(best, "best double, toxic int").orderBy("best", "toxic").collect()
     x, y = np.array([[p.best, 1.0] for p in pairs]), np.array([float(p.toxic) for p in pairs])
-    w, each = np.zeros(2), np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    w = np.zeros(2)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w - np.linalg.solve(h, x.T @ (each * (p - y)) + 1e-2 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        w = w - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * w)
     return model._replace(slope=float(w[0]), offset=float(w[1]))
 
 
