@@ -267,6 +267,8 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     ranks = rows.select("region", "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).drop("rank")
     sizes = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     pivots = rows.join(ranks, ["region", "id"]).join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "id", "items")
+    # written, so that both sides of the grouping below have columns of their own
+    pivots = common.save(pivots.withColumn("chunk", F.col("chunk").cast("int")), "pivots")
     dealt = rows.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("chunks")).cast("int")).drop("chunks")
 
     def place(docs: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
@@ -305,15 +307,16 @@ def joined_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     spark = rows.sparkSession
     alone = F.when(F.col("root") == F.col("id"), F.lit(None)).otherwise(F.col("root"))
     keyed = rows.withColumn("key", F.coalesce(alone, F.lit(-1 << 62)))
-    per = LEAF_DOCS // 4
+    per = max(1, LEAF_DOCS // 4)
     sizes = keyed.groupBy("region", "key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / per), F.ceil(F.sum("n") / (LEAF_ELEMENTS // 4))).alias("blocks"))
     numbered = keyed.join(sizes, ["region", "key"]).withColumn("block", F.xxhash64("key", F.pmod(F.xxhash64("id", F.lit(-2)), F.col("blocks"))))
     numbered = common.save(numbered.select("region", "key", "block", "id", "items", "root"), "blocks")
     blocks = numbered.select("region", "key", "block").distinct()
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.block") <= F.col("b.block")) & ((F.col("a.key") != F.col("b.key")) | (F.col("a.key") == -1 << 62))).select("a.region", F.col("a.block").alias("x"), F.col("b.block").alias("y"), F.xxhash64("a.region", "a.block", "b.block").alias("pair"))
-    left = pairs.join(numbered.alias("n"), (pairs.region == F.col("n.region")) & (pairs.x == F.col("n.block"))).select("pair", F.lit(0).alias("side"), "id", "items", "root")
-    right = pairs.where("x <> y").join(numbered.alias("n"), (pairs.region == F.col("n.region")) & (pairs.y == F.col("n.block"))).select("pair", F.lit(1).alias("side"), "id", "items", "root")
+    pairs = common.save(pairs, "pairs")
+    left = pairs.alias("p").join(numbered.alias("n"), (F.col("p.region") == F.col("n.region")) & (F.col("x") == F.col("n.block"))).select("pair", F.lit(0).alias("side"), "id", "items", "root")
+    right = pairs.where("x <> y").alias("p").join(numbered.alias("n"), (F.col("p.region") == F.col("n.region")) & (F.col("y") == F.col("n.block"))).select("pair", F.lit(1).alias("side"), "id", "items", "root")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def every():
