@@ -75,8 +75,8 @@ def history_budget(spark, sf_dir):
 
 
 def context_budget(spark, sf_dir):
-    """Per source, the longest texts as context of at most twelve chunks and 7000 characters."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.left("text", F.lit(2000)).alias("text"))
+    """Per source, its first documents as context of at most twelve chunks and 7000 characters."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     return budget.kept(docs.withColumn("n", rank).where("n <= 12"), "source", ["n"], 7000).select("source", "doc_id", "n", "kept_chars")
 
@@ -158,7 +158,7 @@ ORACLE_SQL = {
     "json_path": "SELECT event_type, CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), -1)) AS BIGINT) AS sum_k, count(*) FILTER (json_extract_string(props, '$.missing') IS NULL) AS n_default FROM events GROUP BY event_type",
     "history_budget": """WITH c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, sum(coalesce(length(text), 0)) OVER w AS upto, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING))
  SELECT conv_id, turn, CAST(CASE WHEN upto <= 600 THEN n ELSE greatest(0, 600 - (upto - n)) END AS BIGINT) AS kept_chars FROM c WHERE upto <= 600 OR k = 1 OR 600 - (upto - n) > 100""",
-    "context_budget": """WITH d AS (SELECT source, doc_id, least(2000, length(text)) AS n0, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+    "context_budget": """WITH d AS (SELECT source, doc_id, length(text) AS n0, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
  c AS (SELECT source, doc_id, n, coalesce(n0, 0) AS s, sum(coalesce(n0, 0)) OVER (PARTITION BY source ORDER BY n) AS upto FROM d WHERE n <= 12)
  SELECT source, doc_id, CAST(n AS INTEGER) AS n, CAST(CASE WHEN upto <= 7000 THEN s ELSE greatest(0, 7000 - (upto - s)) END AS BIGINT) AS kept_chars FROM c WHERE upto <= 7000 OR n = 1 OR 7000 - (upto - s) > 100""",
     "latest_messages": "SELECT conv_id, turn, role, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS preview FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2",
