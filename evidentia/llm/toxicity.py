@@ -38,7 +38,7 @@ CODES = 64
 WINDOW = 28
 CUTOFF = 0.7
 #: Words whose scores a worker remembers.
-CACHE = 200_000
+CACHE = 500_000
 
 _SPACED = re.compile(r"(?:(?<!\w)\w[\W_]{1,3}){3,}\w(?!\w)")
 _SENTENCE = re.compile(r"[.!?]+\s|\n")
@@ -64,30 +64,25 @@ def pieces(string: str) -> list[str]:
     return [bare[i : i + WINDOW] for i in range(0, max(1, len(bare) - WINDOW // 2), WINDOW // 2)] if len(bare) > WINDOW else [bare]
 
 
-def _codes(words: list[str]) -> np.ndarray:
-    """Characters as codes: 1 marks the beginning, 2 to 27 are letters, others share the rest; 0 is no character."""
-    out = np.zeros((len(words), WINDOW + 1), np.int64)
-    for k, w in enumerate(words):
-        points = np.frombuffer(w.encode("utf-32-le"), "<u4").astype(np.int64)
-        out[k, 0] = 1
-        out[k, 1 : len(points) + 1] = np.where((points >= 97) & (points <= 122), points - 95, 28 + points * 7 % 36)
-    return out
-
-
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, value) of each word's subsequences, of length one altogether: the kernel's feature map."""
-    chars = _codes(words)
+    """(row, code, value) of each word's subsequences: the kernel's feature map, one entry for every place.
+
+    Code 1 marks a word's beginning, 2 to 27 are letters, other characters share the rest. All words are
+    laid out in one row with gaps that no subsequence reaches over. Values are scaled to length one as if
+    all of a word's subsequences differed, which needs no sorting.
+    """
+    gap = max(a + b for a, b in STEPS)
+    points = np.frombuffer("".join([f"\x01{w}" + "\0" * gap for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    chars = np.where((points >= 97) & (points <= 122), points - 95, np.where(points < 2, points, 28 + points * 7 % 36))
+    owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + gap + 1)
     rows, codes, values = [], [], []
     for a, b in STEPS:
-        x, y, z = chars[:, : -a - b], chars[:, a:-b], chars[:, a + b :]
-        there = np.nonzero(z)
-        rows.append(there[0])
+        x, y, z = chars[: -a - b], chars[a:-b], chars[a + b :]
+        there = np.flatnonzero((x > 0) & (y > 0) & (z > 0))
+        rows.append(owner[there])
         codes.append((x[there] * CODES + y[there]) * CODES + z[there])
-        values.append(np.full(len(there[0]), DECAY ** (a + b + 1)))
+        values.append(np.full(len(there), DECAY ** (a + b + 1)))
     row, code, value = map(np.concatenate, (rows, codes, values))
-    key, where = np.unique(row * CODES**3 + code, return_inverse=True)
-    value = np.bincount(where, value, len(key))
-    row, code = key // CODES**3, key % CODES**3
     return row, code, value / np.sqrt(np.bincount(row, value * value, len(words)))[row]
 
 
@@ -100,20 +95,23 @@ def decisions(words: list[str], model: Model) -> np.ndarray:
 
 
 class Scorer:
+    """Values of strings, each kept by its letters and digits alone, as many forms have the same."""
+
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
     def values(self, strings: set[str]) -> list[float]:
+        bare = [s if s.isalnum() else "".join(filter(str.isalnum, s)) for s in strings]
         if len(self.known) > CACHE:
             self.known = {}
-        known, missing = self.known, [s for s in strings if s not in self.known]
+        known, missing = self.known, list({s for s in bare if s not in self.known})
         extra = {}
         for at in range(0, len(missing), 4096):
             part = [(s, p) for s in missing[at : at + 4096] for p in pieces(s)]
             for (s, _), v in zip(part, decisions([p for _, p in part], self.model).tolist(), strict=True):
                 home = known if len(s) <= 2 * WINDOW else extra
                 home[s] = max(home.get(s, v), v)
-        return [known[s] if s in known else extra[s] for s in strings]
+        return [known[s] if s in known else extra[s] for s in bare]
 
     def best(self, text: str) -> float:
         """The highest value in the whole text; as for a string without subsequences if it has none."""
@@ -123,6 +121,16 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.model.slope * self.best(text) + self.model.offset, -40, 40))))
 
 
+_SCORERS: list[Scorer] = []
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's own scorer, which keeps its words from one task to the next while the model is the same."""
+    if not _SCORERS or (_SCORERS[0].model.weights != model.weights).any() or _SCORERS[0].model[1:] != model[1:]:
+        _SCORERS[:] = [Scorer(model)]
+    return _SCORERS[0]
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of a bounded sample of the rows to learn from, written once; equal texts count once."""
     usable = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -200,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     marks += clean[:: max(1, len(clean) // (LANDMARKS - len(marks)))][: LANDMARKS - len(marks)]
     dense = np.zeros((len(marks), CODES**3), np.float32)
     row, code, value = features(marks)
-    dense[row, code] = value
+    np.add.at(dense, (row, code), value)
     eigen, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(eigen, 1e-6)) @ vectors.T
 
@@ -230,17 +238,18 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
     sent = sample.sparkSession.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(sent.value)
+        scorer = scorer_of(sent.value)
         for batch in batches:
             yield pd.DataFrame({"best": [scorer.best(t) for t in batch["text"]], "toxic": batch["toxic"]})
 
-    pairs = sample.select("text", "toxic").mapInPandas(best, "best double, toxic int").orderBy("best", "toxic").collect()
+    pairs = sorted(sample.select("text", "toxic").mapInPandas(best, "best double, toxic int").collect())
     x, y = np.array([[p.best, 1.0] for p in pairs]), np.array([float(p.toxic) for p in pairs])
-    w = np.zeros(2)
+    # either label weighs the same, however rare it is in the sample
+    w, each = np.zeros(2), np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w - np.linalg.solve(h, x.T @ (p - y) + 1e-2 * w)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        w = w - np.linalg.solve(h, x.T @ (each * (p - y)) + 1e-2 * w)
     return model._replace(slope=float(w[0]), offset=float(w[1]))
 
 
@@ -253,7 +262,7 @@ def scored(docs: DataFrame, model: Model | None, keep_below: float | None = None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value) if sent.value else None
+        scorer = scorer_of(sent.value) if sent.value else None
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             scores = [scorer.score(t.as_py() or "") if scorer else 0.0 for t in texts]

