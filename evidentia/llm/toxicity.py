@@ -37,6 +37,8 @@ CODES = 64
 #: Longer strings are scored in windows of this length, each half a window on.
 WINDOW = 28
 CUTOFF = 0.7
+#: Value under which a word is not worth its exact value; the machine's own border is at 0.
+LOW = -0.6
 #: Words whose scores a worker remembers.
 CACHE = 500_000
 
@@ -64,12 +66,12 @@ def pieces(string: str) -> list[str]:
     return [bare[i : i + WINDOW] for i in range(0, max(1, len(bare) - WINDOW // 2), WINDOW // 2)] if len(bare) > WINDOW else [bare]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, code, value) of each word's subsequences: the kernel's feature map, one entry for every place.
+def features(words: list[str], merged: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, value) of each word's subsequences: the kernel's feature map.
 
     Code 1 marks a word's beginning, 2 to 27 are letters, other characters share the rest. All words are
-    laid out in one row with gaps that no subsequence reaches over. Values are scaled to length one as if
-    all of a word's subsequences differed, which needs no sorting.
+    laid out in one row with gaps that no subsequence reaches over. Values are scaled to length one; if
+    not merged, as if all of a word's subsequences differed, which needs no sorting and makes none smaller.
     """
     gap = max(a + b for a, b in STEPS)
     points = np.frombuffer("".join([f"\x01{w}" + "\0" * gap for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -83,15 +85,26 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes.append((x[there] * CODES + y[there]) * CODES + z[there])
         values.append(np.full(len(there), DECAY ** (a + b + 1)))
     row, code, value = map(np.concatenate, (rows, codes, values))
+    if merged:
+        key, where = np.unique(row * CODES**3 + code, return_inverse=True)
+        row, code, value = key // CODES**3, key % CODES**3, np.bincount(where, value, len(key))
     return row, code, value / np.sqrt(np.bincount(row, value * value, len(words)))[row]
 
 
 def decisions(words: list[str], model: Model) -> np.ndarray:
-    """The machine's value for each word; words too short for a subsequence get the bias."""
+    """The machine's value for each word; words too short for a subsequence get the bias.
+
+    Values that are clearly low are bounds from above, which is all that a document's highest value needs.
+    """
     if not words:
         return np.zeros(0)
-    row, code, value = features(words)
-    return np.bincount(row, value * model.weights[code], len(words)) + model.bias
+    row, code, value = features(words, merged=False)
+    out = np.bincount(row, value * model.weights[code], len(words)) + model.bias
+    close = np.flatnonzero(out > LOW)
+    if len(close):
+        row, code, value = features([words[i] for i in close.tolist()])
+        out[close] = np.bincount(row, value * model.weights[code], len(close)) + model.bias
+    return out
 
 
 class Scorer:
@@ -208,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     marks += clean[:: max(1, len(clean) // (LANDMARKS - len(marks)))][: LANDMARKS - len(marks)]
     dense = np.zeros((len(marks), CODES**3), np.float32)
     row, code, value = features(marks)
-    np.add.at(dense, (row, code), value)
+    dense[row, code] = value
     eigen, vectors = np.linalg.eigh((dense @ dense.T).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(eigen, 1e-6)) @ vectors.T
 
