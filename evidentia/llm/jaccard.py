@@ -401,7 +401,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 
 
 def representatives(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each component: the one with the least doc_id; all columns kept."""
+    """docs with one document of each component: the one with the least doc_id; all columns kept.
+
+    Rows without a doc_id stay, as do the repeated rows of a doc_id that stays.
+    """
     found = near_duplicates(docs, words, threshold)
     gone = common.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     if gone.count() <= SENT_ROWS:

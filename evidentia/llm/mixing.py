@@ -110,11 +110,11 @@ def rounded(cells: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """The mixed corpus: every document as many times as it has copies, with its own columns."""
     found = copies(docs, weights).groupBy("doc_id", "text_crc32").agg(F.sum("n_copies").alias("n_copies"), F.count(F.lit(1)).alias("n_rows")).where("n_copies > 0")
-    keyed = docs.withColumn("text_crc32", F.crc32(common.text_or_empty().cast("binary")))
-    joined = keyed.alias("d").join(found.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_crc32") == F.col("c.text_crc32")))
+    crc = F.crc32(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))
+    joined = docs.alias("d").join(found.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (crc == F.col("c.text_crc32")))
     # equal rows share their copies evenly, rounded up
     each = F.explode(F.sequence(F.lit(1), F.ceil(F.col("c.n_copies") / F.col("c.n_rows"))))
-    return joined.withColumn("copy", each).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    return joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), each.alias("copy")).select("row.*")
 
 
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,9 +41,12 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, n_shards: int) -> None:
-    """Writes the documents, every column kept, in one folder per shard and by slot within it."""
-    placed = assign(measured(docs), n_shards, ["doc_id", "size", "text_crc32"])
-    placed.drop("size", "text_crc32").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the documents in one folder per shard, by slot within it; every column is kept but one named shard."""
+    own = [F.col(f"`{c}`") for c in docs.columns if c != "shard"]
+    keyed = measured(docs.select("doc_id", "text", F.struct(*own).alias("own"))).drop("text")
+    placed = assign(keyed, n_shards, ["doc_id", "size", "text_crc32"])
+    ordered = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    ordered.select("own.*", "shard").write.partitionBy("shard").parquet(path)
 
 
 def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,7 +253,14 @@ def test_shards(docs, rows, nothing):
     assert order == sorted(order)
     largest = max(len((t or "").encode()) + 1 for _, t, *_ in rows)
     assert max(sizes.values()) <= sum(sizes.values()) / 5 + largest
-    assert sharding.assign(sharding.measured(nothing), 5, ["doc_id"]).count() == 0
+    assert sharding.assign(sharding.measured(nothing.select("doc_id", "text")), 5, ["doc_id"]).count() == 0
+
+
+def test_shard_files(spark, docs, rows, tmp_path):
+    sharding.write(docs, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.count() == len(rows) and set(back.columns) == set(docs.columns)
+    assert {r.shard for r in back.select("shard").distinct().collect()} <= set(range(4))
 
 
 def test_licenses(spark, docs, rows):
