@@ -40,3 +40,24 @@ def gate(baseline: DataFrame, current: DataFrame) -> DataFrame:
     bad = F.when(F.col("metric").isin(*STRICT), F.lit("fail")).otherwise(F.lit("warn"))
     outcome = F.when(F.col("_b").isNull(), F.lit("new")).when(F.col("_c").isNull(), F.lit("fail")).when(lost | F.coalesce(worse, F.lit(False)), bad).otherwise(F.lit("pass"))
     return joined.select("case_id", "metric", "before", "after", outcome.alias("outcome"))
+
+
+def issue_recall(expected: list[list[str]], found: list[list[str]]) -> float:
+    """Share of expected issues that a found one meets, each used once, in order; sets of citations meet if they overlap."""
+    if not expected:
+        return 1.0
+    left, hit = [set(f) for f in found], 0
+    for e in expected:
+        k = next((i for i, f in enumerate(left) if f & set(e)), None)
+        if k is not None:
+            hit += 1
+            left.pop(k)
+    return hit / len(expected)
+
+
+def exact_matches(expected: DataFrame, actual: DataFrame, by: str, tolerance: float = 0.005) -> DataFrame:
+    """Per case the share of expected numbers (by, key, value) that the actual ones meet; text is skipped, and a case without numbers scores 1."""
+    e = expected.withColumn("want", F.col("value").try_cast("double")).drop("value")
+    a = actual.withColumn("got", F.col("value").try_cast("double")).drop("value")
+    met = F.when(F.col("want").isNotNull(), F.when(F.abs(F.col("want") - F.col("got")) <= tolerance, 1.0).otherwise(0.0))
+    return e.join(a, [by, "key"], "left").groupBy(by).agg(F.coalesce(F.round(F.avg(met), 6), F.lit(1.0)).alias("exact_match"), F.count("want").alias("n"))
