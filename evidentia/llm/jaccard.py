@@ -36,6 +36,9 @@ LEAF_DOCS, LEAF_ELEMENTS = 2000, 3_000_000
 PIVOTS, CHUNK = 12, 256
 #: Rows up to which the documents that have candidates are sent to all tasks rather than shuffled with the texts.
 SENT_ROWS = 500_000
+#: Documents looked at for shingles that many have, how many of these must have one, and how many such
+#: shingles are sent to the tasks at most. They only decide which parts say little; results are the same without.
+COMMON_SAMPLE, COMMON_DOCS, COMMON_MOST = 5000, 3, 400_000
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
 
@@ -86,13 +89,14 @@ class Parts:
     """Contents of the parts of the universe, as one number for each part.
 
     Sets are taken by classes of size; a set whose size could be linked to one of the next class has the
-    parts of that class too. Parts with little content say little and are left out, as long as a set has
-    fewer such parts than linked sets must agree in; sets with more keep all of theirs. Either way linked
-    sets keep a part in common.
+    parts of that class too. Parts with few elements besides common ones say little and are left out, as
+    long as a set has fewer such parts than linked sets must agree in; sets with more keep all of theirs.
+    What is common depends on the content alone, so either way linked sets keep a part in common.
     """
 
-    def __init__(self, threshold: float, least: int):
+    def __init__(self, threshold: float, least: int, common: np.ndarray | None = None):
         self.t, self.least, self.ladder, self.schemes = threshold, least, [1], []
+        self.common = common if common is not None and len(common) else np.zeros(1, np.uint64)
         ratio = max(1.3, 1.02 / threshold)
         while self.ladder[-1] < 1 << 40:
             self.ladder.append(max(self.ladder[-1] + 1, int(self.ladder[-1] * ratio)))
@@ -123,7 +127,8 @@ class Parts:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(items[order] * _P[0]), dtype=np.uint64)])
         ends = np.cumsum(sizes)
         content = mixed((sums[ends] - sums[ends - sizes]) ^ mixed(np.arange(k, dtype=np.uint64) * _P[0] + np.uint64(c)))
-        rich = sizes >= self.least
+        own = self.common[np.minimum(np.searchsorted(self.common, items), len(self.common) - 1)] != items
+        rich = np.bincount(part, own, minlength=k) >= self.least
         return content[rich] if k - rich.sum() < agree else content
 
 
@@ -131,11 +136,28 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that several of a bounded sample of documents have, the most frequent if many."""
+    share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(shingler(text.as_py() or "")))], names=["h"])
+
+    often = sample.mapInArrow(rows, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_DOCS)
+    found = often.orderBy(F.desc("n"), "h").limit(COMMON_MOST).select("h").toArrow().column(0)
+    return np.sort(found.to_numpy().astype(np.int64).view(np.uint64))
+
+
 def sketched(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """doc_id, n (size of the set), two hashes of the set, and the contents of its parts."""
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, parts = Shingler(words), Parts(threshold, 1 if words >= 5 else 2)
+        shingler, parts = Shingler(words), Parts(threshold, 1 if words >= 5 else 2, sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
