@@ -237,6 +237,41 @@ def test_secrets_end_on_text_that_holds_itself():
     assert secrets.scan_text(text)[1]
 
 
+SECRET = "password=abcdefghijklmnop"
+
+
+@pytest.mark.parametrize(
+    "wrapped",
+    [
+        "password%3Dabcdefghijklmnop%C2%A0x",
+        "password%3Dabcdefghijklmnop%FC",
+        "\\ud83d\\ude00password\\u003dabcdefghijklmnop",
+        "\\ud83dpassword\\u003dabcdefghijklmnop",
+        base64.b64encode(f"\ufeff\u200b\u3000\x0b{SECRET}".encode()).decode(),
+        base64.b64encode(gzip.compress(f"\xa0 {SECRET}".encode())).decode(),
+        *("/config"[:k] + base64.b64encode(SECRET.encode()).decode() for k in range(1, 5)),
+        *("/config"[:k] + base64.b64encode(gzip.compress(SECRET.encode())).decode() for k in range(1, 5)),
+        base64.b64encode(SECRET.encode() + b"xy").decode() + "z",
+    ],
+)
+def test_secrets_of_layers_that_are_not_all_text(wrapped):
+    base, every = secrets.scan_text(f"see {wrapped} end")
+    assert not any(b.kind == 0 for b in base) and any(x.kind == 0 and 4 <= x.start < x.end <= 4 + len(wrapped) for x in every)
+
+
+def test_secrets_keep_their_places_beside_bytes_that_are_no_text():
+    text = "%FC%E2%82password%3Dabcdefghijklmnop%FC"
+    assert [(x.kind, x.start, x.end) for x in secrets.scan_text(text)[1]] == [(0, text.index("password"), text.index("mnop") + 4)]
+
+
+def test_secrets_over_the_border_of_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 10_000)
+    inner = base64.b64encode(gzip.compress(random.Random(3).randbytes(9_000) + b" " + SECRET.encode() + b" ")).decode()  # longer than any fixed overlap
+    for inside in (f"{'a b ' * 2000}{inner} end", f"{'a b ' * 2498}password   =   {'x' * 20} end"):
+        wrapped = base64.b64encode(gzip.compress(inside.encode())).decode()
+        assert any(x.kind == 0 for x in secrets.scan_text(wrapped)[1])
+
+
 def test_shards(docs, rows, nothing):
     placed = sharding.assign(sharding.measured(docs).select("doc_id", "size", "text_crc32"), 5, ["doc_id", "size", "text_crc32"])
     out = placed.collect()
