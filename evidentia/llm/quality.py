@@ -1,8 +1,10 @@
 """Quality rules: fixed bounds, and robust multivariate outliers within each language and source.
 
 Every document gives a vector of transformed statistics. For each language and source the minimum
-covariance determinant estimate looks for the half of the documents whose covariance is smallest, by
-concentration steps from a robust start; documents far from it in Mahalanobis distance are rejected.
+covariance determinant estimate looks for the half of the documents whose covariance has the smallest
+determinant, by concentration steps from several starts until none of them gets smaller, and is reweighted
+once; documents far from it in Mahalanobis distance are rejected. Small groups are judged by their language,
+and by all documents where that is small too.
 """
 
 from __future__ import annotations
@@ -13,13 +15,19 @@ from pyspark.sql import functions as F
 from . import common
 
 FEATURES = ("f_word", "f_symbol", "f_line", "f_repeat")
-#: Least spread of each feature, in its own units: what clean prose varies by in any case.
-FLOORS = (0.12, 0.6, 0.6, 0.6)
-#: Squared distance beyond which a document is rejected: the 0.999 quantile of chi-square with four
-#: degrees of freedom.
-CUTOFF = 18.47
-#: Concentration steps, the half a step keeps, and the least documents that a group is judged by.
-STEPS, HALF, LEAST = 3, 0.5, 30
+#: Spread of a feature that the chosen documents hardly vary in, in its own units; any larger spread is the
+#: documents' own. At these a document of 50 words and 250 characters with one window of three words twice, one line
+#: twice or five symbols is just within the cut-off.
+RIDGES = (0.02, 0.16, 0.375, 0.184)
+#: Squared distance beyond which a document is rejected, and that within which one counts at the reweighting:
+#: the 0.999 and 0.975 quantiles of chi-square with four degrees of freedom.
+CUTOFF, INNER = 18.47, 11.14
+#: Most concentration steps, the half a step keeps, and the least documents that a group is judged by.
+STEPS, HALF, LEAST = 30, 0.5, 30
+#: Percentiles whose distance is the spread of a start (None: mean and covariance of all), and how many spreads of a normal lie between.
+STARTS = ((0.25, 0.75, 1.349), (0.05, 0.95, 3.29), None)
+#: By how much the covariance of a normal exceeds that of its inner half, by dimensions, and that of its inner 0.975 of four.
+WIDER, WIDER_INNER = (1.0, 7.01, 3.26, 2.46, 2.11), 1.09
 
 
 def window_hashes(words: Column) -> Column:
@@ -74,53 +82,98 @@ def factored(est: DataFrame) -> DataFrame:
     return est.drop(*[f"s{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
-def outlying(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Adds distance2 to every row: from the robust centre of its group, null where the group is too small.
+def outlying(rows: DataFrame) -> DataFrame:
+    """Adds distance2 to every row: from the robust centre of its group, null where all rows together are too few.
 
-    A group's estimates are a row of sums, so that a hot group is summed in parallel and never gathered.
-    Features that hardly vary get a least spread; the covariance of a half is widened to that of the whole
-    of a normal group by a factor fixed for four features.
+    A group is a language and source, a language, or all rows: the first that has LEAST rows. Estimates are
+    rows of sums, so that a hot group is summed in parallel and never gathered.
     """
-    groups = [F.col(c) for c in by]
-    pairs = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
-
-    def estimate(part: DataFrame, widen: float) -> DataFrame:
-        sums = [F.count(F.lit(1)).alias("m"), *[F.avg(f).alias(f"mu{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i, j in pairs]]
-        out = part.groupBy(*groups).agg(*sums)
-        return out.withColumns({f"s{i}{j}": F.col(f"s{i}{j}") * widen + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in pairs})
-
-    def with_distance(part: DataFrame, est: DataFrame) -> DataFrame:
+    d, by = len(FEATURES), ("g_level", "g_lang", "g_source")
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
+    cells = common.save(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
+    langs = cells.groupBy("lang").agg(F.sum("n").alias("n_lang"))
+    plan = cells.alias("c").join(langs.alias("l"), F.col("c.lang").eqNullSafe(F.col("l.lang"))).select("c.lang", "c.source", F.when(F.col("n") >= LEAST, 0).when(F.col("n_lang") >= LEAST, 1).otherwise(2).alias("g_level"))
+    plan = plan.withColumns({"g_lang": F.when(F.col("g_level") < 2, F.col("lang")), "g_source": F.when(F.col("g_level") < 1, F.col("source"))})
+    own = rows.alias("r").join(F.broadcast(plan.alias("p")), F.col("r.lang").eqNullSafe(F.col("p.lang")) & F.col("r.source").eqNullSafe(F.col("p.source"))).select("r.*", *by)
+    own = common.save(own, "grouped")
+    # the rows that estimates are made of: each group's own, and whole languages or all rows where those judge
+    part = own.where("g_level = 0").select(*by, *FEATURES)
+    wanted = plan.where("g_level = 1").select(F.col("lang").alias("want")).distinct()
+    part = part.unionByName(rows.alias("r").join(F.broadcast(wanted), F.col("r.lang").eqNullSafe(F.col("want")), "left_semi").select(F.lit(1).alias("g_level"), F.col("lang").alias("g_lang"), F.lit(None).cast("string").alias("g_source"), *FEATURES))
+    if not plan.where("g_level = 2").isEmpty():
+        part = part.unionByName(rows.select(F.lit(2).alias("g_level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source"), *FEATURES))
+    part = common.save(part, "estimated")
+
+    def same(a: str, b: str, keys: tuple[str, ...]) -> list[Column]:
+        return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in keys]
+
+    def estimate(chosen: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        return chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), *[F.avg(f).alias(f"mu{i}") for i, f in enumerate(FEATURES)], *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i, j in pairs])
+
+    def ridged(est: DataFrame) -> DataFrame:
+        # a larger diagonal keeps the matrix positive
+        return est.withColumns({f"s{i}{i}": F.greatest(F.col(f"s{i}{i}"), F.lit(RIDGES[i] ** 2)) for i in range(d)})
+
+    def with_distance(to: DataFrame, est: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         est = factored(est)
-        joined = part.alias("r").join(F.broadcast(est.alias("e")), [F.col(f"r.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by], "left").select("r.*", *[f"e.{c}" for c in est.columns if c not in by])
+        joined = to.alias("r").join(F.broadcast(est.alias("e")), same("r", "e", keys), "left").select("r.*", *[f"e.{c}" for c in est.columns if c not in keys])
         for i, f in enumerate(FEATURES):
             rest = F.col(f) - F.col(f"mu{i}")
             for k in range(i):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"z{k}")
             joined = joined.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-        squared = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, len(FEATURES))), F.col("z0") * F.col("z0"))
-        return joined.select(*part.columns, F.when(F.col("m") >= LEAST, squared).alias("distance2"))
-
-    # robust start: medians, and the spread of the middle half
-    middle = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("m"), *[F.percentile_approx(f, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
-    est = middle.select(*by, "m", *[F.get(f"q{i}", F.lit(1)).alias(f"mu{i}") for i in range(len(FEATURES))], *[(F.lit(FLOORS[i] ** 2) + F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in pairs])
-    est = common.save(est, "mcd_start")
+        squared = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, d)), F.col("z0") * F.col("z0"))
+        return joined.select(*to.columns, squared.alias("distance2"))
+
+    def log_det(est: DataFrame) -> DataFrame:
+        return factored(est).select(*by, "start", sum((2 * F.log(f"l{i}{i}") for i in range(1, d)), 2 * F.log("l00")).alias("log_det"))
+
+    keyed = (*by, "start")
+    points = sorted({0.5, *(p for s in STARTS if s for p in s[:2])})
+    middle = part.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), *[F.percentile_approx(f, points, 1000).alias(f"q{i}") for i, f in enumerate(FEATURES)])
+    at = lambda i, p: F.get(f"q{i}", F.lit(points.index(p)))
+    est = None
+    for k, start in enumerate(STARTS):
+        if start is None:
+            one = estimate(part, by)
+        else:
+            low, high, spreads = start
+            one = middle.select(*by, "m", *[at(i, 0.5).alias(f"mu{i}") for i in range(d)], *[(F.pow((at(i, high) - at(i, low)) / spreads, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i, j in pairs])
+        one = one.withColumn("start", F.lit(k))
+        est = one if est is None else est.unionByName(one)
+    est = common.save(ridged(est), "mcd_start")
+    tried = part.withColumn("start", F.explode(F.array(*[F.lit(k) for k in range(len(STARTS))])))
     for step in range(STEPS):
-        far = with_distance(rows, est)
-        bound = far.groupBy(*groups).agg(F.percentile_approx("distance2", HALF, 1000).alias("bound"))
-        half = far.alias("r").join(F.broadcast(bound.alias("b")), [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]).where("r.distance2 <= b.bound").select("r.*")
-        counted = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("all_rows"))
-        # at the last step: half of a four-dimensional normal has 0.42 of its covariance
-        est = estimate(half, 1.0 if step < STEPS - 1 else 1 / 0.42).alias("e").join(counted.alias("c"), [F.col(f"e.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]).select("e.*", "c.all_rows").drop("m").withColumnRenamed("all_rows", "m")
-        est = common.save(est, f"mcd_{step}")
-    return with_distance(rows, est)
+        far = with_distance(tried, est, keyed)
+        bound = far.groupBy(*keyed).agg(F.percentile_approx("distance2", HALF, 1000).alias("bound"))
+        half = far.alias("r").join(F.broadcast(bound.alias("b")), same("r", "b", keyed)).where("r.distance2 <= b.bound").select("r.*")
+        after = common.save(ridged(estimate(half, keyed)), f"mcd_{step}")
+        # the start is no half's: it has no determinant to compare with
+        less = step == 0 or log_det(after).alias("a").join(log_det(est).alias("b"), same("a", "b", keyed)).agg(F.max(F.col("b.log_det") - F.col("a.log_det"))).first()[0] or 0.0
+        est = after
+        if less is not True and less < 1e-4:
+            break
+    best = log_det(est).groupBy(*by).agg(F.min_by("start", F.struct("log_det", "start")).alias("best"))
+    est = est.alias("e").join(best.alias("b"), same("e", "b", by) + [F.col("e.start") == F.col("b.best")]).select("e.*").drop("start")
+    varied = sum((F.col(f"s{i}{i}") > RIDGES[i] ** 2).cast("int") for i in range(d))
+    wider = F.get(F.array(*[F.lit(w) for w in WIDER]), varied)
+    is_own = {(i, j): (F.col(f"s{i}{i}") > RIDGES[i] ** 2) & (F.col(f"s{j}{j}") > RIDGES[j] ** 2) for i, j in pairs}
+    est = est.select(*by, "m", *[f"mu{i}" for i in range(d)], *[F.when(is_own[i, j], F.col(f"s{i}{j}") * wider).otherwise(F.col(f"s{i}{j}")).alias(f"s{i}{j}") for i, j in pairs])
+    est = common.save(est, "mcd_raw")
+    inner = with_distance(part, est, by).where(F.col("distance2") <= INNER)
+    est = estimate(inner, by)
+    est = common.save(ridged(est.select(*by, "m", *[f"mu{i}" for i in range(d)], *[(F.col(f"s{i}{j}") * WIDER_INNER).alias(f"s{i}{j}") for i, j in pairs])), "mcd")
+    enough = middle.where(F.col("m") >= LEAST).select(*by)
+    return with_distance(own, est.alias("e").join(enough.alias("n"), same("e", "n", by), "left_semi"), by).select(*rows.columns, "distance2")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, distance2 and kept for every document.
 
     Documents that fail a base rule are not kept. Of the others, the estimates reject those far from their
-    group; a group of under LEAST documents (or with a null language or source: a group like any other)
-    rejects none. Empty and null texts have no words and fail. Other columns are ignored.
+    group (a null language or source makes a group like any other); only where fewer than LEAST documents
+    pass the base rules in all is none rejected. Empty and null texts have no words and fail. Other columns
+    are ignored.
     """
     rows = vectors(common.save(statistics(docs), "statistics"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

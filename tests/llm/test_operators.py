@@ -348,6 +348,19 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(got[1000 + i] for i in range(15)) and sum(got[i] for i in range(300)) >= 298
 
 
+def test_quality_rejects_single_features_and_rows_of_small_groups(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"{rng.choice(VOCABULARY)}{rng.randrange(900)}" for _ in range(n)]
+    out = [(i, " ".join(words(rng.randint(60, 400))), "en", "s") for i in range(200)]
+    out += [(300 + i, " ".join(words(100)), lang, f"t{i}") for i, lang in enumerate(["en", "en", "fr", None])]
+    repeated = words(20)
+    out += [(1000, " ".join(words(60) + repeated + words(10) + repeated), "en", "s")]  # 40 of 110 words
+    out += [(1001, "\n".join([" ".join(words(40))] + [" ".join(words(10)), "a b"] * 4), "en", "s")]  # 3 repeated lines
+    out += [(1002 + i, " ".join(w + "%" * (k % 3 == 0) for k, w in enumerate(words(100))), lang, source) for i, (lang, source) in enumerate([("en", "s"), ("en", "tiny"), ("fr", "t2"), (None, None)])]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(out, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(got) == len(out) and not any(got[i] for i in got if i >= 1000) and sum(got[i] for i in got if i < 1000) >= 202
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(i, f"{prose(rng, 18)} i{i} j{i} k{i}. {prose(rng, 14)} m{i} n{i} o{i}") for i in range(30)] + [(30, None), (31, ""), (32, " ".join(f"long{k}" for k in range(300)))]
