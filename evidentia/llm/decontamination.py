@@ -55,7 +55,7 @@ def halves(text: str) -> tuple[list[bytes], list[bytes]]:
 class Index:
     """Items of one length class: passages are twice as long as its longest item may be."""
 
-    def __init__(self, items: list[tuple[int, str]], reach: int):
+    def __init__(self, items: list[tuple[int | None, str]], reach: int):
         self.reach, self.ids = reach, [i for i, _ in items]
         lists = [words_of(t) for _, t in items]
         mean = sum(map(len, lists)) / len(lists)
@@ -129,7 +129,7 @@ class Index:
             at[t] = bisect_left(self.docs[t], doc, at[t])
 
     def found(self, words: list[bytes], threshold: float, overlap: float) -> dict[int, tuple[float, float, float, int]]:
-        """item -> (score, question overlap, answer overlap, first word of the passage) for a whole document."""
+        """position of an item -> (score, question overlap, answer overlap, first word of the passage) for a whole document."""
         get = self.terms.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         starts = self.possible(ids, threshold)
@@ -148,7 +148,7 @@ class Index:
                 q, a = (self._share(part, passage, words[s : s + 2 * self.reach]) for part in self.parts[k])
                 if q >= overlap and a >= overlap:
                     best[k] = max(best.get(k, (0.0, 0.0, 0.0, 0)), (score, q, a, -s))
-        return {self.ids[k]: (x, q, a, -s) for k, (x, q, a, s) in best.items()}
+        return {k: (x, q, a, -s) for k, (x, q, a, s) in best.items()}
 
     def possible(self, ids: np.ndarray, threshold: float) -> list[int]:
         """First words of the passages in which some item could reach the threshold.
@@ -180,7 +180,7 @@ class Index:
         return len(part & passage) / len(part)
 
 
-def indexes(items: list[tuple[int, str]]) -> list[Index]:
+def indexes(items: list[tuple[int | None, str]]) -> list[Index]:
     """One index for each class of lengths (up to 64 words, 128, 256, ...); items without words are left out."""
     classes = defaultdict(list)
     for i, t in items:
@@ -189,11 +189,14 @@ def indexes(items: list[tuple[int, str]]) -> list[Index]:
     return [Index(x, reach) for reach, x in sorted(classes.items())]
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS, so that what is broadcast has a bound."""
-    sized = benchmark.where("text IS NOT NULL").select("item_id", "text").groupBy("item_id").agg(F.max("text").alias("text"))
+def item_blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
+    """The distinct items in blocks of at most BLOCK_CHARS, so that what is broadcast has a bound.
+
+    Items are told apart by id and text: suites may share ids, and an item may have none.
+    """
+    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
     blocks, held = [[]], 0
-    for i, t in sized.orderBy("item_id").toLocalIterator():
+    for i, t in items.orderBy("item_id", "text").toLocalIterator():
         if held and held + len(t) > BLOCK_CHARS:
             blocks, held = [*blocks, []], 0
         blocks[-1].append((i, t))
@@ -205,7 +208,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) for each contaminated document and item.
 
     Every word of every document is in two passages but those at its ends. Null and empty texts and items
-    match nothing, items that share an id count as one, and repeated rows are reported each.
+    match nothing, items that share an id are reported each by it, equal items once, and repeated documents each.
     """
     spark, out = docs.sparkSession, None
     for block in item_blocks(benchmark):
@@ -217,7 +220,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                 for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                     words = words_of(text.as_py() or "")
                     for index in sent.value:
-                        out += [(doc_id.as_py(), item, *x) for item, x in index.found(words, threshold, overlap).items()]
+                        out += [(doc_id.as_py(), index.ids[k], *x) for k, x in index.found(words, threshold, overlap).items()]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=arrow)
 
         names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]

@@ -110,11 +110,24 @@ def rounded(cells: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """The mixed corpus: every document as many times as it has copies, with its own columns."""
     found = copies(docs, weights).groupBy("doc_id", "text_crc32").agg(F.sum("n_copies").alias("n_copies"), F.count(F.lit(1)).alias("n_rows")).where("n_copies > 0")
+    found = common.save(found, "dealt")
     crc = F.crc32(F.coalesce(F.col("d.text"), F.lit("")).cast("binary"))
-    joined = docs.alias("d").join(found.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (crc == F.col("c.text_crc32")))
-    # equal rows share their copies evenly, rounded up
-    each = F.explode(F.sequence(F.lit(1), F.ceil(F.col("c.n_copies") / F.col("c.n_rows"))))
-    return joined.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), each.alias("copy")).select("row.*")
+
+    def joined(part: DataFrame) -> DataFrame:
+        both = docs.alias("d").join(part.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (crc == F.col("c.text_crc32")))
+        return both.select(F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"c.{c}") for c in part.columns])
+
+    def copied(rows: DataFrame, times: Column) -> DataFrame:
+        return rows.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")
+
+    out = copied(joined(found.where("n_rows = 1")), F.col("n_copies"))
+    repeated = found.where("n_rows > 1")
+    if repeated.isEmpty():
+        return out
+    # equal rows share their copies evenly, the first ones get what is left over
+    position = F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy(F.lit(1)))
+    each = F.floor(F.col("n_copies") / F.col("n_rows")) + (F.col("position") <= F.col("n_copies") % F.col("n_rows")).cast("long")
+    return out.unionByName(copied(joined(repeated).withColumn("position", position), each))
 
 
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

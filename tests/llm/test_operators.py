@@ -382,6 +382,26 @@ def test_decontamination(spark):
     assert decontamination.matches(docs, benchmark.limit(0)).count() == decontamination.matches(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_by_items_that_share_an_id_or_have_none(spark):
+    rng = random.Random(7)
+    text = lambda k: f"{prose(rng, 18)} i{k} j{k} k{k}. {prose(rng, 14)} m{k} n{k} o{k}"
+    items = [(0, text(0)), (0, text(1)), (None, text(2)), (None, text(3)), (5, text(4))]
+    benchmark = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"{prose(rng, 80)} {t} {prose(rng, 80)}") for k, (_, t) in enumerate(items)] + [(9, prose(rng, 200))], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.matches(docs, benchmark).collect())
+    assert got == [(k, i) for k, (i, _) in enumerate(items)]
+    assert [r.doc_id for r in decontamination.clean(docs, benchmark).collect()] == [9]
+
+
+def test_mixing_deals_the_copies_of_equal_rows(spark):
+    rng = random.Random(9)
+    rows = [(1, prose(rng, 20), "a")] * 100 + [(None, prose(rng, 20), "a")] * 7 + [(i, prose(rng, rng.randint(5, 40)), s) for i, s in zip(range(2, 62), "bc" * 30, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {(r.doc_id, r.source): r.n for r in mixing.copies(docs, (1.0, 3.0, 3.0)).groupBy("doc_id", "source").agg(F.sum("n_copies").alias("n")).where("n > 0").collect()}
+    assert 0 < want[1, "a"] and want[1, "a"] % 100
+    assert collections.Counter((r.doc_id, r.source) for r in mixing.mix(docs, (1.0, 3.0, 3.0)).collect()) == want
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(1)
     index = decontamination.indexes([(i, prose(rng, rng.randint(10, 60))) for i in range(150)])[0]
