@@ -9,26 +9,37 @@ from evidentia.functions import text as T
 
 #: Confidence that a claim may keep when its quote is not found, or its chunk is unknown.
 CAP_NOT_FOUND, CAP_NO_CHUNK = 0.45, 0.35
-#: Words at the start of a quote that a source has to hold before it is compared.
+#: Words at the start of a quote whose last ones a source has to hold before it is compared.
 LEAD = 3
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(T.collapsed(text)), " ")
+    """The words of a text as T.contained compares it most loosely: collapsed, lower case, without hyphens."""
+    return F.split(F.replace(F.lower(T.collapsed(text)), F.lit("-"), F.lit("")), " ")
 
 
 def quotes_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, status) of every quote (item_id, text) that stands in a document.
 
-    A quote's first words meet the documents' runs of as many words in a hash join, so that only documents
-    that hold its beginning are compared with it in full. Quotes of fewer words meet none.
+    Words within a quote stand whole in its source; the first may end and the last begin a longer word. So
+    the second and third word of a quote, or the second of three, meet the documents' in a hash join. A
+    quote of one or two words meets the distinct words of all documents that hold its only word or begin
+    with its second. Only documents found so are compared with the quote in full.
     """
-    lead = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(1, LEAD)])  # noqa: E731  the first word may be part of a longer one
-    held = quotes.where("text IS NOT NULL").select("item_id", F.col("text").alias("quote"), _words(F.col("text")).alias("w")).where(F.size("w") > LEAD).withColumn("key", lead(F.col("w"), F.lit(0))).drop("w")
-    keys = held.select("key").distinct()
-    runs = docs.where("text IS NOT NULL").select("doc_id", _words(F.col("text")).alias("w")).where(F.size("w") >= LEAD)
-    runs = runs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - LEAD), lambda i: lead(F.col("w"), i)))).alias("key")).join(keys, "key", "left_semi")
-    pairs = runs.join(held, "key").select("item_id", "doc_id", "quote").distinct()
+    held = quotes.where("text IS NOT NULL").select("item_id", F.col("text").alias("quote"), _words(F.col("text")).alias("w"))
+    worded = docs.where("text IS NOT NULL").select("doc_id", _words(F.col("text")).alias("w"))
+    lead = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(1, LEAD)])
+    long = held.where(F.size("w") > LEAD).select("item_id", "quote", lead(F.lit(0)).alias("key"))
+    runs = worded.where(F.size("w") >= LEAD).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - LEAD), lead))).alias("key"))
+    pairs = runs.join(long.select("key").distinct(), "key", "left_semi").join(long, "key").select("item_id", "doc_id", "quote").distinct()
+    short = held.where(F.size("w") <= LEAD)
+    if not short.isEmpty():
+        single = worded.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
+        three = short.where(F.size("w") == 3).select("item_id", "quote", F.get("w", F.lit(1)).alias("word"))
+        few = short.where(F.size("w") < 3).select("item_id", "quote", F.get("w", F.lit(0)).alias("first"), F.get("w", F.lit(1)).alias("second"))
+        starts = single.select("word").distinct().join(F.broadcast(few), F.when(F.col("second").isNull(), F.contains("word", "first")).otherwise(F.startswith("word", "second")))
+        keyed = three.unionByName(starts.select("item_id", "quote", "word"))
+        pairs = pairs.unionByName(single.join(keyed, "word").select("item_id", "doc_id", "quote")).distinct()
     found = pairs.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", T.contained(F.col("quote"), F.col("text")).alias("status"))
     return found.where("status IS NOT NULL")
 

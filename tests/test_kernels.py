@@ -1,6 +1,7 @@
 """Known values, and properties that SQL does not express."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -137,3 +138,13 @@ def test_hourly_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(90)
     assert sorted(r.n for r in spark.table("hours").collect()) == [1, 1, 2]
+
+
+def test_quotes_of_any_length_and_with_hyphens(spark):
+    texts = ["The Anspruch be-steht nach dem Gesetz fort", "der Anspruch besteht nach dem Gesetz", "Mietvertrag", "ein Miet-vertrag gilt, so", "gilt", "", "Es - gilt  nicht"]
+    quotes = ["Anspruch besteht nach dem Gesetz", "nach dem Gesetz", "vertrag gilt", "Mietvertrag", "ilt", "Anspruch be-steht nach dem", "es gilt nicht", "Anspruch besteht morgen"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    got = sorted((r.item_id, r.doc_id) for r in verify.quotes_in(items, docs).collect())
+    bare = lambda t: re.sub(r"\s+", " ", t).strip().lower().replace("-", "")
+    assert got == [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if bare(q) in bare(t)]
