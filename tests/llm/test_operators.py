@@ -111,13 +111,68 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, known.limit(0)) is None and {r.score for r in toxicity.scored(docs, None).collect()} == {0.0}
 
 
-def test_weights_are_the_landmarks_value():
-    words = ["idiot", "idxiot", "moron", "table"]
-    row, code, value = toxicity.features(words)
-    dense = np.zeros((4, toxicity.CODES**3))
-    dense[row, code] = value
-    assert np.allclose(np.diag(dense @ dense.T), 1)
-    assert dense[0] @ dense[1] > 0.3 > dense[0] @ dense[3]
+def test_units_and_their_values_by_brute_force():
+    """Units by hand; the value of each against the kernel with every landmark, summed pair by pair."""
+    shown = lambda u: "".join("_" if c == 1 else chr(c + 95) for c in u)
+    units = lambda t: {shown(u) for u in toxicity.units_of(toxicity.parsed(t))}
+    assert units("You mo.ron! A b c\nok") == {"_you", "_moron", "_you_moron", "_mo", "ron", "_a", "_b", "_c", "_a_b", "_b_c", "_a_b_c", "_ok"}
+    assert "_moron" in units("what a? m o r o n he is") | units("m-o-r-o-n") and "_a_b_c_d" not in units("a b. c d")
+    assert max(map(len, units("y" * 100 + " z"))) > 100 and "y" * toxicity.STRETCH in units("y" * 100)
+    assert not units("") | units(" \n.,!")
+
+    def mapped(u):
+        out = collections.Counter()
+        for i, j, k in ((i, j, k) for i in range(len(u)) for j in range(i + 1, len(u)) for k in range(j + 1, len(u)) if j - i <= toxicity.STEP and k - j <= toxicity.STEP):
+            out[u[i], u[j], u[k]] += toxicity.DECAY ** (k - i + 1)
+        size = sum(toxicity.DECAY ** (2 * (a + b + 1)) * max(0, len(u) - a - b) for a in range(1, 4) for b in range(1, 4))
+        return out, size**0.5
+
+    rng = np.random.default_rng(5)
+    marks = [u for u in toxicity.units_of(toxicity.parsed("idiot moron. total scum here\nthe table is set for two, old friend")) if len(u) > 3]
+    space = toxicity.Landmarks(marks)
+    model = space.folded(rng.normal(size=len(marks)), -0.3)
+    text = toxicity.parsed("Such an id-iot; a scummy m x o x r x o x n, fit for " + "w" * 40 + ". Yes he is")
+    w = {(k // 4096, k // 64 % 64, k % 64): float(model.weights[k]) for k in np.flatnonzero(model.weights)}
+    for u, v in zip(toxicity.units_of(text), toxicity.values_of(text, model), strict=True):
+        found, size = mapped(u)
+        assert v == pytest.approx((sum(x * w.get(k, 0.0) for k, x in found.items()) / size if size else 0.0) - 0.3, abs=1e-5)
+    # the folded table gives what the landmarks' kernel and the machine's weights give
+    want = rng.normal(size=len(marks))
+    kernel = np.zeros((len(marks), len(marks)))
+    for i, u in enumerate(marks):
+        for j, v in enumerate(marks):
+            (x, n), (y, m) = mapped(u), mapped(v)
+            kernel[i, j] = sum(c * y[k] for k, c in x.items()) / n / m
+    assert np.allclose(space.dense @ space.dense.T, kernel) and np.allclose(space.kernel(marks), kernel)
+    folded = space.folded(want, 0.0)
+    assert np.allclose([folded.weights[space.codes] @ d for d in space.dense], space.embedded(marks) @ want, atol=1e-4)
+
+
+def test_toxic_phrases_of_harmless_words(spark):
+    """Neither word of the insult marks a document by itself; repeated rows, clashing columns and long texts do no harm."""
+    rng = random.Random(8)
+    plain = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("lar", "mon", "net", "sip")]
+    out, labels = [], []
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(40)]
+        at = rng.randrange(38)
+        if i % 4 == 0:
+            words[at : at + 2] = ["wet", "sock"]
+        else:
+            words[at], words[(at + 9) % 40] = rng.choice(["wet", "sock"]), rng.choice(["wet", "sock"])
+            words = [w for k, w in enumerate(words) if not (k and w == "sock" and words[k - 1] == "wet")]
+        out.append((i, " ".join(words) + ".", "x"))
+        labels.append((i, int(i % 4 == 0)))
+    more = [(700, out[0][1], "x"), (700, out[0][1], "x"), (None, out[0][1], "y"), (701, "a " * 200_000 + "wet sock", "z")]
+    docs = spark.createDataFrame(out + more, "doc_id long, text string, score string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id % 3 <> 1"))
+    rows = toxicity.scored(docs, model).collect()
+    got = {r.doc_id: r.score for r in rows}
+    assert len(rows) == len(out) + len(more) and got[700] == got[None] == got[0]
+    wrong = [i for i, k in labels if i % 3 == 1 and (got[i] >= toxicity.CUTOFF) != bool(k)]
+    assert len(wrong) <= 10
+    assert toxicity.scored(docs, model, keep_below=0.5).columns == docs.columns
+    assert toxicity.scored(docs.limit(0), model).count() == 0
 
 
 def test_chat(spark):
