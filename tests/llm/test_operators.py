@@ -10,6 +10,7 @@ import zlib
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +66,10 @@ def test_tokens(spark, docs, rows, nothing):
         expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at, every = at + len(ids), every + ids
     assert [tuple(r) for r in got] == expected
-    first = files.where("shard = 0").agg(F.sum("n_tokens")).first()[0]
-    for position in random.Random(1).sample(range(first), 5):
-        assert tokens.token_at(files, 0, position) == every[position]
+    for position in [0, len(every) - 1, *random.Random(1).sample(range(len(every)), 5)]:
+        assert tokens.token_at(files, position) == every[position]
+    with pytest.raises(IndexError):
+        tokens.token_at(files, len(every))
     assert tokens.read_documents(tokens.encode(nothing, PATH, 1)).count() == 0
 
 
@@ -76,7 +78,22 @@ def test_encoder_equals_the_library():
 
     tokenizer, encoder = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH)
     for text in ("İstanbul's ǅ ﬁne été x,y a_b don't can't! ½kg H₂O word<|endoftext|> 'tis O'Re'Ll'd", "naïve— «q»  z　w ΑΣ ΣΑΣ, Å K end\r\n\tnew", "a" * 500 + "! " + "%" * 50, ""):
-        assert encoder(text) == encoder(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        for _ in range(2):
+            ids, n = encoder.batch(pa.array(["x", text, None, text]))
+            assert ids.tolist() == tokenizer.encode("x", add_special_tokens=False).ids + want + want and n.tolist()[1:] == [len(want), 0, len(want)]
+
+
+def test_encoder_with_little_memory(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    tokenizer, encoder, rng = Tokenizer.from_file(PATH), tokens.WordEncoder(PATH), random.Random(6)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 50))) + rng.choice(["", ",", "."]) for _ in range(rng.randint(0, 20))) for _ in range(5)]
+        ids, n = encoder.batch(pa.array(texts))
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
 
 
 @pytest.mark.parametrize("top", [1, 255, 256, 49_407, 1 << 20, (1 << 32) - 1])
