@@ -28,9 +28,9 @@ from . import common
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
 #: Words up to this length are kept in a worker's memory, at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 40, 900_000
+CACHE_CHARS, CACHE_WORDS = 40, 750_000
 #: Bytes of text whose words are looked up together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 BLOCKS = "shard int, block int, start_in_shard long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
@@ -114,8 +114,8 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
-        self.begin, self.count, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, "<u4")
-        self.met = np.zeros(1 << 16, np.int64)
+        self.begin, self.count, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, "<u4")
+        self.met = np.zeros(1 << 16, np.int32)
 
     def _forget(self) -> None:
         """Keeps the words met most often, less than half of all."""
@@ -127,7 +127,7 @@ class WordEncoder:
         self.ids = self.ids[np.repeat(begin - sums, count) + np.arange(int(count.sum()))]
         words = list(self.known)
         self.known = {words[i]: k for k, i in enumerate(held.tolist())}
-        self.begin, self.count, self.met = sums, count, np.zeros(len(held), np.int64)
+        self.begin, self.count, self.met = sums.astype(np.int32), count, np.zeros(len(held), np.int32)
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
         return dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)), strict=True))
@@ -203,9 +203,9 @@ class WordEncoder:
         offsets = split.offsets.to_numpy().astype(np.int64)
         place = self._placed(words.dictionary.to_pylist())[words.indices.to_numpy()]
         n = self.count[place]
-        sums = np.append(0, np.cumsum(n))
-        at = np.repeat(self.begin[place] - sums[:-1], n)
-        at += np.arange(len(at))
+        sums = np.append(0, np.cumsum(n, dtype=np.int64))
+        at = np.repeat((self.begin[place] - sums[:-1]).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
         offsets -= offsets[0]
         return self.ids[at], sums[offsets[1:]] - sums[offsets[:-1]]
 
