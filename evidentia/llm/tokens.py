@@ -239,23 +239,25 @@ def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids) of every row where it lies: little-endian unsigned 32-bit ids of the whole text and the end id."""
+    """(doc_id, width, ids) of every row where it lies: the ids of the whole text and the end id, little-endian and
+    unsigned, of two bytes each where the vocabulary allows, else of four."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = encoder(tokenizer_path)
+        width = 2 if max(end_id, len(words.ends)) < 1 << 16 else 4
         for batch in batches:
             for part in _slices(batch, SLICE_BYTES):
                 ids, n = words.batch(part.column(1))
                 ends = np.cumsum(n)
                 ids = np.insert(ids, ends, end_id)
-                offsets = 4 * np.append(0, ends + np.arange(1, len(n) + 1))
-                raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([part.column(0), raw.cast(pa.binary())], names=["doc_id", "ids"])
+                offsets = width * np.append(0, ends + np.arange(1, len(n) + 1))
+                raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([width] * len(n), pa.int32()), raw.cast(pa.binary())], names=["doc_id", "width", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, width int, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -271,17 +273,17 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int
         doc_ids, lengths, parts, held = [], [], [], 0
 
         def flush():
-            payload = pack(np.frombuffer(b"".join(parts), "<u4"))
+            payload = pack(np.concatenate(parts))
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([at], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
                 names=["shard", "block", "start_in_shard", "n_tokens", "doc_ids", "lengths", "payload"],
             )
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 doc_ids.append(doc_id)
-                parts.append(ids.as_py())
-                lengths.append(len(parts[-1]) // 4)
+                parts.append(np.frombuffer(ids.as_py(), f"<u{width}"))
+                lengths.append(len(parts[-1]))
                 held += lengths[-1]
                 if held >= block_tokens:
                     yield flush()
