@@ -293,9 +293,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int
             yield flush()
 
     spark = docs.sparkSession
-    ids = common.save(encoded(docs, tokenizer_path, end_id), "token_ids")
+    ids = common.save(encoded(docs, tokenizer_path, end_id), "token_ids", compression="zstd")
     ordered = ids.repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    out = common.save(ordered.mapInArrow(blocks, BLOCKS), "token_blocks")
+    out = common.save(ordered.mapInArrow(blocks, BLOCKS), "token_blocks", compression="zstd")
     common.drop(ids)
     return out
 
