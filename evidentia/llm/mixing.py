@@ -1,10 +1,12 @@
 """Mixing sources to target weights by entropy balancing.
 
 The mix keeps as close as it can, in relative entropy over tokens, to the corpus itself while every source
-gives its target number of tokens. The dual of this problem is convex with one multiplier per constraint;
-its solution tilts each document's rate exponentially. Newton steps solve it: the sums they need are Spark
-aggregates, and only one row per source reaches the driver. Rates are then rounded into whole copies so
-that the tokens a source gives stay near its target.
+gives its target number of tokens, no document stands for more than MOST copies, and the tokens keep the corpus'
+mean logarithm of document length: sources with other lengths must not drag the whole mix with them. The last
+constraint joins all sources, so rates differ between the documents of one. The dual of this problem is convex
+with one multiplier per constraint; its solution tilts each document's rate exponentially. Newton steps solve it:
+the sums they need are Spark aggregates, the multipliers of sources stay in a table, and the driver sees one row
+of sums a step. Rates are then rounded into whole copies so that the tokens a source gives stay near its target.
 """
 
 from __future__ import annotations
@@ -18,93 +20,129 @@ from . import common
 
 #: Copies of a document are at most so many; a source's target is at most so many times its size.
 MOST = 3.0
-#: Size classes of rounding, as a ratio of neighbouring bounds; rows of one class that one task sorts.
-CLASS_RATIO, CELL_ROWS = 1.1, 1_000_000
+#: Size classes of rounding, as a ratio of neighbouring bounds.
+CLASS_RATIO = 1.1
+#: How softly the mean length is held: this share of all tokens for each squared multiplier. It keeps the dual strictly
+#: convex where sources leave no room, and steps few.
+RIDGE = 0.1
+#: Parts of copies are counted in units, so that their sums do not hang on the order they are taken in.
+UNITS = 1 << 20
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> dict[str | None, float]:
-    """Tokens each source should give: all tokens shared by weight, none above MOST times its own.
+def targets(by_source: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
+    """by_source (source, source_size) with target: all tokens shared by weight, none above MOST times its own.
 
-    Sources stand by code point, null last, and take the weights in turn, again and again.
+    Sources stand by code point, null last, and take the weights in turn, again and again. One row a source is
+    numbered in one task; nothing but sums reaches the driver.
     """
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    found: dict[str | None, float] = {}
-    while open_ := [s for s in order if s not in found]:
-        share = (sum(sizes.values()) - sum(found.values())) / sum(weight[s] for s in open_)
-        over = [s for s in open_ if weight[s] * share > MOST * sizes[s]]
-        for s in over or open_:
-            found[s] = MOST * sizes[s] if over else weight[s] * share
-    return found
-
-
-def balance(cells: DataFrame, target: dict[str | None, float], tolerance: float = 1e-10, most_steps: int = 60) -> dict[str | None, float]:
-    """Multipliers by source: sum(size * exp(multiplier)) meets the target, by Newton steps on the dual.
-
-    cells has source, size and n (documents of that source and size). A source with no tokens or target
-    stays at zero.
+    order = Window.orderBy(F.asc_nulls_last("source"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    now = common.save(by_source.select("source", "source_size", weight.alias("weight"), F.lit(None).cast("double").alias("target")), "targets")
+    while True:
+        sums = now.agg(F.sum("source_size").alias("all"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("given"), F.sum(F.when(F.col("target").isNull(), F.col("weight"))).alias("weights")).first()
+        if not sums["weights"]:
+            return now.select("source", "source_size", "target")
+        wanted = F.col("weight") * F.lit((sums["all"] - sums["given"]) / sums["weights"])
+        over = wanted > MOST * F.col("source_size")
+        some_over = not now.where(F.col("target").isNull() & over).isEmpty()
+        found = F.when(over, MOST * F.col("source_size")) if some_over else wanted
+        now = common.save(now.withColumn("target", F.coalesce("target", found)), "targets")
+
+
+def balance(cells: DataFrame, target: DataFrame, tolerance: float = 1e-9, most_steps: int = 40) -> tuple[DataFrame, float, float]:
+    """(source, source_size, target, tilt) and the length multiplier and mean: a document's rate is
+    min(MOST, exp(tilt + multiplier * (log(1 + size) - mean))).
+
+    cells has source, size and n (documents of that source and size). Sources whose target is MOST times their
+    size give every document MOST times, those without tokens or target none; neither has a multiplier to find.
     """
-    spark = cells.sparkSession
-    tilt = {s: 0.0 for s in target}
+    tokens = F.col("n") * F.col("size")
+    total, mean = cells.agg(F.sum(tokens), F.sum(tokens * F.log1p("size")) / F.sum(tokens)).first()
+    total, mean = float(total or 0), float(mean or 0.0)
+    fixed = F.when((F.col("source_size") == 0) | (F.col("target") <= 0), F.lit(-700.0)).when(F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12), F.lit(700.0))
+    start = F.coalesce(fixed, F.log(F.col("target") / F.col("source_size")))
+    now = common.save(target.select("source", "source_size", "target", fixed.isNotNull().alias("fixed"), start.alias("tilt")), "tilts")
+    length, last = 0.0, math.inf
     for _ in range(most_steps):
-        now = spark.createDataFrame([(s, float(v)) for s, v in tilt.items()], "source string, tilt double")
-        sums = cells.alias("c").join(F.broadcast(now.alias("t")), F.col("c.source").eqNullSafe(F.col("t.source"))).groupBy("c.source").agg(F.sum(F.col("n") * F.col("size") * F.exp("tilt")).alias("tokens"))
-        worst = 0.0
-        for s, tokens in sums.collect():  # one row per source
-            if tokens and target[s] > 0:
-                gradient, curvature = tokens - target[s], tokens
-                tilt[s] -= max(-1.0, min(1.0, gradient / curvature))
-                worst = max(worst, abs(gradient) / target[s])
+        z = F.log1p("c.size") - mean
+        raw = F.exp(F.least(F.col("t.tilt") + length * z, F.lit(700.0)))
+        rate = F.least(F.lit(MOST), raw)
+        free = F.when((raw < MOST) & ~F.col("t.fixed"), raw).otherwise(F.lit(0.0))
+        mass = F.col("c.n") * F.col("c.size")
+        sums = cells.alias("c").join(now.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).groupBy("t.source", "t.target", "t.fixed", "t.tilt", "t.source_size").agg(
+            F.sum(mass * rate).alias("tokens"), F.sum(mass * rate * z).alias("m"), F.sum(mass * free).alias("h"), F.sum(mass * free * z).alias("c"), F.sum(mass * free * z * z).alias("q")
+        )
+        sums = common.save(sums.withColumn("g", F.when(F.col("fixed"), F.lit(0.0)).otherwise(F.col("tokens") - F.col("target"))), "sums")
+        h = F.when(F.col("h") > 0, F.col("h"))
+        step = sums.agg(
+            F.sum("m").alias("m"), F.sum(F.coalesce(F.col("c") * F.col("g") / h, F.lit(0.0))).alias("cg"), F.sum("q").alias("q"), F.sum(F.coalesce(F.col("c") * F.col("c") / h, F.lit(0.0))).alias("cc"), F.max(F.abs("g") / F.greatest("target", F.lit(1e-9))).alias("worst")
+        ).first()
+        slope = (step["m"] or 0.0) + RIDGE * total * length
+        worst = max(step["worst"] or 0.0, abs(slope) / max(total, 1.0))
         if worst <= tolerance:
             break
-    return tilt
+        bend = (step["q"] or 0.0) - (step["cc"] or 0.0) + RIDGE * total
+        move = max(-0.5, min(0.5, -(slope - (step["cg"] or 0.0)) / bend)) if bend > 0 else 0.0
+        move = move if worst < 2 * last else move / 2  # back off where the caps make a step overshoot
+        shift = F.when(F.col("fixed"), F.lit(0.0)).when(F.col("h") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -(F.col("g") + F.col("c") * move) / F.col("h")))).otherwise(F.lit(-1.0))
+        now = common.save(sums.select("source", "source_size", "target", "fixed", (F.col("tilt") + shift).alias("tilt")), "tilts")
+        length, last = length + move, worst
+    return now, length, mean
 
 
 def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
-    """doc_id, text_crc32, source, size, source_size, target and n_copies for every row of docs.
+    """doc_id, text_crc32, source, size, source_size, target, rate and n_copies for every row of docs.
 
-    Size counts words between blanks (null text: 0). Rates are the source's whole part plus, for the rest,
-    evenly spaced documents of one size class: classes go from the largest documents to the smallest, and
-    each carries to the next what it could not meet. Rows of one class are dealt to cells by a hash of the
-    id, so that the hottest source never has to be sorted by a single task. The same rows give the same
+    Size counts words between blanks (null text: 0). A document has the whole part of its rate, and one copy more
+    if its turn comes: classes of size go from the largest documents to the smallest, each carries to the next the
+    tokens it could not meet, and within a class the parts of copies are added up and evenly cut. They are added
+    up over ranges of rows first, so that no task holds a whole class or source. The same rows give the same
     copies on every run; equal rows are interchangeable. Empty documents get the whole part alone.
     """
     spark = docs.sparkSession
     text = common.text_or_empty()
     sized = common.save(docs.select("doc_id", "source", F.crc32(text.cast("binary")).alias("text_crc32"), F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("size")), "sized")
     cells = common.save(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    by_source = {s: int(k or 0) for s, k in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size"))).collect()}
-    target = targets(by_source, weights)
-    tilt = balance(cells, target)
-    plan = spark.createDataFrame([(s, by_source[s], float(target[s]), min(MOST, math.exp(tilt[s])) if target[s] > 0 else 0.0) for s in target], "source string, source_size long, target double, rate double")
-    rated = sized.alias("d").join(F.broadcast(plan.alias("p")), F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", "source_size", "target", "rate")
-    rated = rated.withColumns({"whole": F.floor(F.col("rate") + 1e-9), "class": F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / math.log(CLASS_RATIO)).cast("int")}).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole")))
-    hottest = cells.groupBy("source").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
-    rated = rated.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-hottest // CELL_ROWS)))).cast("int"))
-    key = ["source", "class", "cell"]
-    wanted = rounded(rated.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), F.max("part").alias("part")))
-    position = F.row_number().over(Window.partitionBy(*key).orderBy("size", F.xxhash64("doc_id"), "doc_id", "text_crc32"))
-    picked = rated.withColumn("position", position).alias("r").join(F.broadcast(wanted.alias("w")), [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key])
-    nth = lambda i: F.floor(i * F.col("w.extra") / F.col("w.n") + 0.5)
-    extra = (nth(F.col("r.position")) > nth(F.col("r.position") - 1)).cast("long")
-    return picked.select("r.doc_id", "r.text_crc32", "r.source", "r.size", "r.source_size", "r.target", (F.col("whole") + extra).alias("n_copies"))
-
-
-def rounded(cells: DataFrame) -> DataFrame:
-    """extra: how many documents of each cell get one copy more, the rest carried on within the source.
-
-    A source has at most some 150 classes times its cells, so its list is short whatever its documents.
+    plan, length, mean = balance(cells, targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights))
+    plan = plan.withColumnRenamed("source", "of")
+    rate = F.least(F.lit(MOST), F.exp(F.least(F.col("tilt") + length * (F.log1p("size") - mean), F.lit(700.0))))
+    rated = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "text_crc32", "source", "size", "source_size", "target", rate.alias("rate"))
+    rated = rated.withColumns({"whole": F.floor(F.col("rate") + 1e-9), "class": F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / math.log(CLASS_RATIO)).cast("int")})
+    rated = rated.withColumn("part", F.when(F.col("size") > 0, F.round(UNITS * F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).cast("long")).otherwise(F.lit(0)))
+    rated = rated.withColumn("turn", F.xxhash64("doc_id"))
+    order = ["source", "class", "size", "turn", "doc_id", "text_crc32"]
+    ranged = common.save(rated.repartitionByRange(common.shuffle_partitions(spark), *order).withColumn("range_id", F.spark_partition_id()), "ranges")
+    key = ["source", "class"]
+    by_range = ranged.groupBy("range_id", *key).agg(F.sum("part").alias("parts"), F.sum(F.col("part") * F.col("size")).cast("double").alias("mass"), F.max("part").alias("most"))
+    by_range = common.save(by_range, "range_sums")  # a row for every range and class that meet: ranges and classes together
+    wanted = rounded(by_range.groupBy(*key).agg(F.sum("parts").alias("all_parts"), F.sum("mass").alias("mass"), F.max("most").alias("most")))
+    before = F.coalesce(F.sum("parts").over(Window.partitionBy(*key).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = by_range.select("range_id", *key, before.alias("base")).alias("b").join(wanted.alias("w"), [F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key]).select("b.range_id", *[F.col(f"b.{c}").alias(f"of_{c}") for c in key], "b.base", "w.all_parts", "w.extra")
+    within = Window.partitionBy("range_id", *key).orderBy(*order[2:]).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("upto", F.sum("part").over(within)).withColumnRenamed("range_id", "in_range")
+    picked = summed.join(bases, (F.col("in_range") == F.col("range_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("class") == F.col("of_class")))
+    picked = picked.withColumns({"high": (F.col("base") + F.col("upto")).cast("decimal(38,0)"), "all_parts": F.col("all_parts").cast("decimal(38,0)")})
+    extra = F.when(F.col("extra") > 0, F.expr("((2 * high * extra + all_parts) div (2 * all_parts)) - ((2 * (high - part) * extra + all_parts) div (2 * all_parts))")).otherwise(F.lit(0))
+    return picked.select("doc_id", "text_crc32", "source", "size", "source_size", "target", "rate", (F.col("whole") + extra).cast("long").alias("n_copies"))
+
+
+def rounded(classes: DataFrame) -> DataFrame:
+    """extra: how many documents of each class get one copy more, what is left over carried on within the source.
+
+    A source has some 150 classes at most, so its list is short whatever its documents. No more is dealt than
+    gives every document one at most.
     """
 
     def step(acc: Column, x: Column) -> Column:
-        want = acc["carry"] + x["part"] * x["tokens"]
-        mean = F.greatest(x["tokens"] / x["n"], F.lit(1e-9))
-        extra = F.when(x["tokens"] > 0, F.greatest(F.lit(0.0), F.least(x["n"].cast("double"), F.round(want / mean)))).otherwise(F.lit(0.0))
-        return F.struct((want - extra * mean).alias("carry"), F.concat(acc["out"], F.array(F.struct(x["class"].alias("class"), x["cell"].alias("cell"), x["n"].alias("n"), extra.cast("long").alias("extra")))).alias("out"))
+        want = acc["carry"] + x["mass"] / UNITS
+        size = x["mass"] / F.greatest(x["all_parts"], F.lit(1))
+        most = F.floor(x["all_parts"] / F.greatest(x["most"], F.lit(1)))
+        extra = F.when(x["mass"] > 0, F.greatest(F.lit(0.0), F.least(most.cast("double"), F.round(want / size)))).otherwise(F.lit(0.0))
+        return F.struct((want - extra * size).alias("carry"), F.concat(acc["out"], F.array(F.struct(x["class"].alias("class"), x["all_parts"].alias("all_parts"), extra.cast("long").alias("extra")))).alias("out"))
 
-    start = F.struct(F.lit(0.0).alias("carry"), F.from_json(F.lit("[]"), "array<struct<class:int,cell:int,n:bigint,extra:bigint>>").alias("out"))
-    lists = cells.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "cell", "n", "tokens", "part")), asc=False).alias("cells"))
-    return lists.select("source", F.explode(F.aggregate("cells", start, step)["out"]).alias("x")).select("source", "x.*")
+    start = F.struct(F.lit(0.0).alias("carry"), F.from_json(F.lit("[]"), "array<struct<class:int,all_parts:bigint,extra:bigint>>").alias("out"))
+    lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "all_parts", "mass", "most")), asc=False).alias("classes"))
+    return lists.select("source", F.explode(F.aggregate("classes", start, step)["out"]).alias("x")).select("source", "x.*")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
@@ -131,5 +169,6 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFr
 
 
 def op4_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, beside its source's size and target."""
     found = copies(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).cast("long").alias("taken"))

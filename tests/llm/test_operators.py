@@ -215,6 +215,17 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(table.limit(0))).count() == 0
 
 
+def shares(sizes, weights=(5.0, 2.0, 1.0)):
+    """Targets of sources, by hand."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight, found = {s: weights[i % len(weights)] for i, s in enumerate(order)}, {}
+    while open_ := [s for s in order if s not in found]:
+        share = (sum(sizes.values()) - sum(found.values())) / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * share > 3 * sizes[s]]
+        found |= {s: 3.0 * sizes[s] if over else weight[s] * share for s in over or open_}
+    return found
+
+
 def test_mixing(spark, docs, rows, nothing):
     got = mixing.copies(docs)
     out = got.collect()
@@ -222,8 +233,7 @@ def test_mixing(spark, docs, rows, nothing):
     size = collections.Counter()
     for _, text, _, source, _ in rows:
         size[source] += len(WORD.findall(text or ""))
-    target = mixing.targets(dict(size))
-    assert abs(sum(target.values()) - sum(size.values())) < 1e-6 and all(target[s] <= 3 * size[s] + 1e-9 for s in size)
+    target = shares(dict(size))
     taken = collections.Counter()
     for r in out:
         assert r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 and 0 <= r.n_copies <= 3
@@ -233,13 +243,39 @@ def test_mixing(spark, docs, rows, nothing):
         assert abs(taken[s] - target[s]) <= max(0.1 * target[s], largest)
     key = lambda d: sorted((r.doc_id, r.text_crc32, r.n_copies) for r in d.collect())
     assert key(got) == key(mixing.copies(docs.repartition(2)))
-    assert mixing.mix(docs).columns == docs.columns and mixing.copies(nothing).count() == 0
-
-
-def test_targets():
-    assert mixing.targets({"a": 10, "b": 10, None: 100}) == pytest.approx({"a": 30, "b": 30, None: 60})
-    assert mixing.targets({"a": 0, "b": 5}) == pytest.approx({"a": 0, "b": 5})
-    assert mixing.targets({}) == {}
+    assert mixing.mix(docs).columns == docs.columns and mixing.copies(nothing).count() == 0 and mixing.mix(nothing).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, None: 100}, {"a": 0, "b": 5}, {}, {f"s{i}": i * i + 1 for i in range(12)}])
+def test_targets(spark, sizes):
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    assert {r.source: r.target for r in mixing.targets(table).collect()} == pytest.approx(shares(sizes))
+
+
+def test_rates_solve_the_balance(spark):
+    """Against Newton steps with the whole matrix over every document."""
+    rng = np.random.default_rng(3)
+    source = np.repeat(np.arange(4), 60)
+    size = np.concatenate([rng.integers(lo, hi, 60) for lo, hi in ((5, 60), (100, 2000), (10, 4000), (1, 9))])
+    totals = np.bincount(source, size)
+    target = shares({f"s{k}": int(t) for k, t in enumerate(totals)})
+    z = np.log1p(size) - (size * np.log1p(size)).sum() / size.sum()
+    held = [k for k in range(4) if target[f"s{k}"] < 3 * totals[k] - 1e-6]
+    a = np.array([*[(source == k) * 1.0 for k in held], z])
+    fixed = ~np.isin(source, held)
+    x = np.zeros(len(held) + 1)
+    wanted = np.array([*[target[f"s{k}"] for k in held], 0.0])
+    ridge = np.diag([0.0] * len(held) + [mixing.RIDGE * size.sum()])
+    for _ in range(500):
+        e = np.exp(np.minimum(x @ a, 50))
+        r = np.where(fixed, 3.0, np.minimum(e, 3.0))
+        free = size * np.where(fixed | (e >= 3), 0.0, e)
+        x = x - 0.3 * np.linalg.solve((a * free) @ a.T + ridge + 1e-9 * np.eye(len(x)), a @ (size * r) - wanted + ridge @ x)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * int(n)), f"s{k}") for i, (n, k) in enumerate(zip(size, source, strict=True))], "doc_id long, text string, source string")
+    got = {q.doc_id: q for q in mixing.copies(docs).collect()}
+    assert np.allclose([got[i].rate for i in range(len(size))], r, rtol=1e-4)
+    assert len({round(got[i].rate, 6) for i in range(60, 180)}) > 50  # documents of one source differ
+    assert all(int(got[i].rate + 1e-9) <= got[i].n_copies <= min(3, int(got[i].rate + 1e-9) + 1) for i in got)
 
 
 def components(rows, words, threshold):
