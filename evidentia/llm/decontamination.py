@@ -1,9 +1,10 @@
 """Benchmark decontamination: every passage of the corpus is a BM25 query against the test items.
 
 The inverted index holds the items, so it stays small while the corpus grows; it is sent to the tasks in
-blocks of bounded size. Its postings carry impacts divided by the item's score for its own text: a passage
-that holds a whole item scores 1. Block-max WAND returns every item above the threshold; of these, the ones
-whose question and answer both overlap the passage in five-word shingles are contamination.
+blocks of bounded size, while frequencies and lengths are those of all items. Its postings carry impacts divided
+by the item's score for its own text: a passage that holds a whole item scores 1. Bounds of stretches tell which
+passages any item could reach; for these, block-max WAND returns every item above the threshold, and of them the
+ones whose question and answer both overlap the passage in five-word shingles are contamination.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +54,24 @@ def halves(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
+class Statistics(NamedTuple):
+    """Of all items: how many have words, how many words they have on average, and how many items each word is in."""
+
+    items: int
+    mean: float
+    df: dict[bytes, int]
+
+
 class Index:
     """Items of one length class: passages are twice as long as its longest item may be."""
 
-    def __init__(self, items: list[tuple[int | None, str]], reach: int):
+    def __init__(self, items: list[tuple[int | None, str]], reach: int, known: Statistics):
         self.reach, self.ids = reach, [i for i, _ in items]
         lists = [words_of(t) for _, t in items]
-        mean = sum(map(len, lists)) / len(lists)
+        mean, df = known.mean, known.df
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        df = Counter(w for ws in lists for w in set(ws))
         for k, ws in enumerate(lists):
-            own = {w: math.log(1 + (len(lists) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
+            own = {w: math.log(1 + (known.items - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean)) for w, tf in Counter(ws).items()}
             total = sum(own.values())
             for w, x in own.items():
                 postings[w].append((k, x / total))
@@ -80,9 +89,6 @@ class Index:
         self.row_at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         self.row_item = np.array([k for row in rows for k in row], np.int64)
         self.row_impact = np.array([x for t, row in enumerate(rows) if row for x in self.impacts[t]])
-        self.all_at = np.concatenate([[0], np.cumsum([len(r) for r in self.docs])])
-        self.all_item = np.array([k for row in self.docs for k in row], np.int64)
-        self.all_impact = np.array([x for row in self.impacts for x in row])
         self.parts = [tuple(map(shingles, halves(t))) for _, t in items]
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
@@ -136,12 +142,7 @@ class Index:
         best: dict[int, tuple[float, float, float, int]] = {}
         for s in starts:
             terms = np.unique(ids[s : s + 2 * self.reach])
-            terms = terms[terms > 0]
-            n = self.all_at[terms + 1] - self.all_at[terms]
-            at = np.repeat(self.all_at[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            if np.bincount(self.all_item[at], self.all_impact[at], 1).max() < threshold - 1e-9:
-                continue
-            hits = self.search(terms.tolist(), threshold)
+            hits = self.search(terms[terms > 0].tolist(), threshold)
             passage = shingles(words[s : s + 2 * self.reach]) if hits else set()
             for k, score in hits:
                 # a half shorter than a shingle is its whole sequence, which a passage holds as words
@@ -180,28 +181,54 @@ class Index:
         return len(part & passage) / len(part)
 
 
-def indexes(items: list[tuple[int | None, str]]) -> list[Index]:
+def statistics(lists: list[list[bytes]]) -> Statistics:
+    return Statistics(len(lists), sum(map(len, lists)) / max(1, len(lists)), Counter(w for ws in lists for w in set(ws)))
+
+
+def statistics_of(benchmark: DataFrame) -> Statistics:
+    """statistics() of a table of items: a row for each of its words reaches the driver, however many items there are."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [ws for ws in (words_of(t.as_py()) for t in batch.column(0)) if ws]
+            found = Counter(w for ws in lists for w in set(ws))
+            # the item count and the sum of lengths stand under words that no text can have
+            keys, counts = [b"", b" ", *found], [len(lists), sum(map(len, lists)), *found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["word", "n"])
+
+    sums = distinct_items(benchmark).select("text").mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    df = {bytes(w): n for w, n in sums.toLocalIterator()}
+    items, words = df.pop(b"", 0), df.pop(b" ", 0)
+    return Statistics(items, words / max(1, items), df)
+
+
+def indexes(items: list[tuple[int | None, str]], known: Statistics | None = None) -> list[Index]:
     """One index for each class of lengths (up to 64 words, 128, 256, ...); items without words are left out."""
+    known = known or statistics([ws for ws in (words_of(t or "") for _, t in items) if ws])
     classes = defaultdict(list)
     for i, t in items:
         if n := len(words_of(t or "")):
             classes[max(64, 1 << (n - 1).bit_length())].append((i, t))
-    return [Index(x, reach) for reach, x in sorted(classes.items())]
+    return [Index(x, reach, known) for reach, x in sorted(classes.items())]
 
 
-def item_blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The distinct items in blocks of at most BLOCK_CHARS, so that what is broadcast has a bound.
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    """The items, told apart by id and text: suites may share ids, and an item may have none."""
+    return benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
 
-    Items are told apart by id and text: suites may share ids, and an item may have none.
-    """
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text").distinct()
-    blocks, held = [[]], 0
-    for i, t in items.orderBy("item_id", "text").toLocalIterator():
-        if held and held + len(t) > BLOCK_CHARS:
-            blocks, held = [*blocks, []], 0
-        blocks[-1].append((i, t))
-        held += len(t)
-    return blocks
+
+def index_blocks(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Indexes of at most BLOCK_CHARS of item text (or of one longer item), one after another, so that what is
+    broadcast and what the driver holds at once have a bound. An empty benchmark has one block without items."""
+    known, held, size, some = statistics_of(benchmark), [], 0, False
+    for i, t in distinct_items(benchmark).orderBy("item_id", "text").toLocalIterator():
+        if held and size + len(t) > BLOCK_CHARS:
+            yield indexes(held, known)
+            held, size, some = [], 0, True
+        held.append((i, t))
+        size += len(t)
+    if held or not some:
+        yield indexes(held, known)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -211,8 +238,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     match nothing, items that share an id are reported each by it, equal items once, and repeated documents each.
     """
     spark, out = docs.sparkSession, None
-    for block in item_blocks(benchmark):
-        sent = spark.sparkContext.broadcast(indexes(block))
+    for block in index_blocks(benchmark):
+        sent = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -232,8 +259,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """docs without contaminated ones, all columns kept; documents stay where they are, with no shuffle."""
-    for block in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(indexes(block))
+    for block in index_blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def kept(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -245,4 +272,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
 
 
 def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold."""
     return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -42,6 +42,9 @@ COMMON_SAMPLE, COMMON_DOCS, COMMON_MOST = 5000, 3, 400_000
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
 
+#: Rows without a doc_id get numbers from here on.
+NAMELESS = (1 << 63) - (1 << 42)
+
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _P = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -138,8 +141,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of shingles that several of a bounded sample of documents have, the most frequent if many."""
+    # as a share of all hashes, which does not end at any number of documents
     share = min(1.0, COMMON_SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    sample = docs.where((F.xxhash64("doc_id") / 2.0**64 + 0.5) < share).select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -285,8 +289,11 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     (id, root).
     """
     spark = rows.sparkSession
-    order = Window.partitionBy("region").orderBy(F.xxhash64("id", F.lit(level)), "id")
-    ranks = rows.select("region", "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS).drop("rank")
+    # the least hashes of parts of a region first, so that no task orders a whole one
+    turn = [F.xxhash64("id", F.lit(level)), F.col("id")]
+    first = F.row_number().over(Window.partitionBy("region", F.pmod(F.xxhash64("id", F.lit(-3)), F.lit(256))).orderBy(*turn))
+    few = rows.select("region", "id").distinct().withColumn("rank", first).where(F.col("rank") <= PIVOTS).drop("rank")
+    ranks = few.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(*turn))).where(F.col("rank") <= PIVOTS).drop("rank")
     sizes = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     pivots = rows.join(ranks, ["region", "id"]).join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "id", "items")
     # written, so that both sides of the grouping below have columns of their own
@@ -372,7 +379,7 @@ def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
         # where a part is nearly as large as the whole, pivots do not help
         parts = placed.where("region IS NOT NULL").groupBy("from_region", "region").agg(F.count(F.lit(1)).alias("part"))
         stuck = parts.join(large.select(F.col("region").alias("from_region"), "docs"), "from_region").where("10 * part > 7 * docs").select("from_region").distinct()
-        whole = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_semi").groupBy("from_region", "id").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.min("root").alias("root"))
+        whole = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_semi").groupBy("from_region", "id", "items").agg(F.first("n").alias("n"), F.min("root").alias("root"))
         out.append(joined_blocks(whole.withColumnRenamed("from_region", "region"), threshold))
         rows = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_anti").select("region", "id", "n", "items")
         level += 1
@@ -382,6 +389,11 @@ def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
     return links
 
 
+def row_key():
+    """The doc_id, or a number beyond all doc_ids made of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << 42) - 1)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every row of docs.
 
@@ -389,18 +401,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
     whole number of hundredths). class_id is the least doc_id with the same set, component_id the least
     doc_id that links reach. Letters A-Z count as lower case, words stand between blanks, and a text with
     fewer words than a shingle is one shingle. Null and empty texts have the empty set and are linked with
-    nothing; equal texts, and repeated rows of one doc_id, are of one class. Other columns are ignored.
+    nothing; equal texts, and repeated rows of one doc_id, are of one class. Rows without a doc_id are joined by a
+    number made of their text; they come back without one, and without a class or component that has no doc_id.
+    doc_ids are below NAMELESS. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = common.save(sketched(docs.where("doc_id IS NOT NULL"), words, threshold), "sketches")
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    return joined(docs, words, threshold).select(named("doc_id"), "n_shingles", named("class_id"), named("component_id"))
+
+
+def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """As near_duplicates(), with row_key() for doc_id."""
+    docs = docs.select(row_key().alias("doc_id"), "text")
+    rows = common.save(sketched(docs, words, threshold), "sketches")
     by_set = common.save(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = rows.where("n > 0").join(by_set.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     contents = firsts.select(F.explode("parts").alias("part"), F.col("doc_id").alias("id"))
-    # regions: what stands first in a region leads it
-    region = Window.partitionBy("part")
-    led = contents.withColumn("leader", F.min("id").over(region)).where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    # regions: what stands first in a region leads it; a part that few or most documents share is summed up where they lie
+    shared = common.save(contents.groupBy("part").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared_parts")
+    led = contents.join(shared, "part").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
     groups = common.save(components(led), "groups")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
     some = groups.select(F.col("node").alias("id"), F.col("component").alias("region"))
     if groups.count() <= SENT_ROWS:
         some = F.broadcast(some)
@@ -425,14 +445,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 def representatives(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs with one document of each component: the one with the least doc_id; all columns kept.
 
-    Rows without a doc_id stay, as do the repeated rows of a doc_id that stays.
+    A row without a doc_id goes if any document with one is in its component. Repeated rows of what stays stay.
     """
-    found = near_duplicates(docs, words, threshold)
-    gone = common.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    found = joined(docs, words, threshold)
+    gone = common.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     if gone.count() <= SENT_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, row_key() == F.col("gone"), "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and component of every document by three-word shingles at a similarity of 0.9."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, threshold=0.9)

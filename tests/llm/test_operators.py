@@ -304,6 +304,17 @@ def test_jaccard(docs, rows, nothing, words, threshold):
         assert jaccard.near_duplicates(nothing, words, threshold).count() == 0
 
 
+def test_jaccard_of_rows_without_an_id(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near = a + " " + a.split()[0]
+    rows = [(None, a), (None, near), (5, a), (7, near), (None, b), (None, b), (None, None), (None, ""), (9, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in jaccard.near_duplicates(docs).collect()]
+    assert len(got) == len(rows) and sorted((r[0] or 0, r[3] or 0) for r in got) == [(0, 0)] * 4 + [(0, 5)] * 2 + [(5, 5), (7, 5), (9, 9)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in jaccard.representatives(docs).collect()) == sorted([(5, a), (0, b), (0, b), (0, ""), (0, ""), (9, c)])
+
+
 @pytest.mark.parametrize("elements", [1200, 10**9])
 def test_jaccard_of_groups_that_no_task_may_hold(monkeypatch, docs, rows, elements):
     for name, value in (("LEAF_DOCS", 5), ("LEAF_ELEMENTS", elements), ("PIVOTS", 3), ("CHUNK", 4), ("SENT_ROWS", 3)):
@@ -501,6 +512,22 @@ def test_decontamination_by_items_that_share_an_id_or_have_none(spark):
     assert [r.doc_id for r in decontamination.clean(docs, benchmark).collect()] == [9]
 
 
+def test_decontamination_does_not_hang_on_blocks(spark, monkeypatch):
+    """Scores come from all items, in one block or in many; WAND alone decides what reaches the threshold."""
+    rng = random.Random(17)
+    items = [(i, f"{prose(rng, rng.randint(10, 150))} i{i % 7} j{i}. {prose(rng, 20)} m{i}") for i in range(40)]
+    docs = spark.createDataFrame([(k, f"{prose(rng, 300)} {items[k][1]} {prose(rng, 300)}", "x") for k in range(0, 40, 3)] * 2, "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontamination.matches(docs, benchmark, overlap=0.0).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 2000)
+    assert len(list(decontamination.index_blocks(benchmark))) > 3
+    assert one == sorted(map(tuple, decontamination.matches(docs, benchmark, overlap=0.0).collect())) and len(one) >= 28
+    assert decontamination.clean(docs, benchmark).columns == docs.columns
+    index = decontamination.indexes(items)[0]
+    monkeypatch.setattr(decontamination.Index, "search", lambda *_: [])
+    assert not any(index.found(decontamination.words_of(t), 0.6, 0.0) for _, t in items)
+
+
 def test_mixing_deals_the_copies_of_equal_rows(spark):
     rng = random.Random(9)
     rows = [(1, prose(rng, 20), "a")] * 100 + [(None, prose(rng, 20), "a")] * 7 + [(i, prose(rng, rng.randint(5, 40)), s) for i, s in zip(range(2, 62), "bc" * 30, strict=True)]
