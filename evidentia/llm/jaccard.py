@@ -42,6 +42,8 @@ COMMON_SAMPLE, COMMON_DOCS, COMMON_MOST = 5000, 3, 400_000
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
 
+#: Documents of which one stands for the others that share a part.
+SLICE = 4000
 #: Rows without a doc_id get numbers from here on.
 NAMELESS = (1 << 63) - (1 << 42)
 
@@ -175,6 +177,30 @@ def sketched(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, parts array<bigint>")
 
 
+def contents(rows: DataFrame) -> DataFrame:
+    """(part, id, leader) for every part of every document.
+
+    Of the documents of a slice that share a part one stands for the others, which are led by it here and now; so
+    a part that most documents share brings one row a slice to where its region is put together. A row that is led
+    has its document's number for a part, which keeps it out of any region's task.
+    """
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                slice_ = batch.slice(at, SLICE)
+                lists = slice_.column(1)
+                counts = np.diff(lists.offsets.to_numpy())
+                ids = np.repeat(slice_.column(0).to_numpy(), counts)
+                parts = lists.flatten().to_numpy()
+                _, first, inverse = np.unique(parts, return_index=True, return_inverse=True)
+                leaders = ids[first][inverse]
+                follows = leaders != ids
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(follows, ids, parts)), pa.array(ids), pa.array(leaders, mask=~follows)], names=["part", "id", "leader"])
+
+    return rows.select("doc_id", "parts").mapInArrow(led, "part long, id long, leader long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes in edges (a, b): the least node that each can reach.
 
@@ -415,10 +441,9 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     rows = common.save(sketched(docs, words, threshold), "sketches")
     by_set = common.save(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
     firsts = rows.where("n > 0").join(by_set.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    contents = firsts.select(F.explode("parts").alias("part"), F.col("doc_id").alias("id"))
-    # regions: what stands first in a region leads it; a part that few or most documents share is summed up where they lie
-    shared = common.save(contents.groupBy("part").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared_parts")
-    led = contents.join(shared, "part").where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+    # regions: what stands first in a region leads it
+    head = F.min(F.when(F.col("leader").isNull(), F.col("id"))).over(Window.partitionBy("part"))
+    led = contents(firsts).select("id", F.coalesce("leader", head).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     groups = common.save(components(led), "groups")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
     some = groups.select(F.col("node").alias("id"), F.col("component").alias("region"))
