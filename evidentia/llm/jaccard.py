@@ -133,8 +133,8 @@ class Parts:
         ends = np.cumsum(sizes)
         content = mixed((sums[ends] - sums[ends - sizes]) ^ mixed(np.arange(k, dtype=np.uint64) * _P[0] + np.uint64(c)))
         own = self.common[np.minimum(np.searchsorted(self.common, items), len(self.common) - 1)] != items
-        rich = np.bincount(part, own, minlength=k) >= self.least
-        return content[rich] if k - rich.sum() < agree else content
+        rich = np.bincount(part, own, minlength=k)
+        return content[rich >= np.partition(rich, agree - 1)[agree - 1]]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -163,7 +163,7 @@ def sketched(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, parts = Shingler(words), Parts(threshold, 1 if words >= 5 else 2, sent.value)
+        shingler, parts = Shingler(words), Parts(threshold, 2, sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
