@@ -178,17 +178,18 @@ def sketched(docs: DataFrame, words: int, threshold: float) -> DataFrame:
 
 
 def contents(rows: DataFrame) -> DataFrame:
-    """(part, id, leader) for every part of every document.
+    """(part, id, leader) for every part of every set, which goes by its first hash.
 
-    Of the documents of a slice that share a part one stands for the others, which are led by it here and now; so
-    a part that most documents share brings one row a slice to where its region is put together. A row that is led
-    has its document's number for a part, which keeps it out of any region's task.
+    Equal sets of a slice count once; two sets with one hash would only share a region. Of the sets of a slice that share a part one stands for the others, which are led by it here and now; so
+    a part that most sets share brings one row a slice to where its region is put together. A row that is led
+    has its own number for a part, which keeps it out of any region's task.
     """
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 slice_ = batch.slice(at, SLICE)
+                slice_ = slice_.take(pa.array(np.unique(slice_.column(0).to_numpy(), return_index=True)[1]))
                 lists = slice_.column(1)
                 counts = np.diff(lists.offsets.to_numpy())
                 ids = np.repeat(slice_.column(0).to_numpy(), counts)
@@ -198,7 +199,7 @@ def contents(rows: DataFrame) -> DataFrame:
                 follows = leaders != ids
                 yield pa.RecordBatch.from_arrays([pa.array(np.where(follows, ids, parts)), pa.array(ids), pa.array(leaders, mask=~follows)], names=["part", "id", "leader"])
 
-    return rows.select("doc_id", "parts").mapInArrow(led, "part long, id long, leader long")
+    return rows.select("h1", "parts").mapInArrow(led, "part long, id long, leader long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -440,13 +441,12 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     docs = docs.select(row_key().alias("doc_id"), "text")
     rows = common.save(sketched(docs, words, threshold), "sketches")
     by_set = common.save(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
-    firsts = rows.where("n > 0").join(by_set.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     # regions: what stands first in a region leads it
     head = F.min(F.when(F.col("leader").isNull(), F.col("id"))).over(Window.partitionBy("part"))
-    led = contents(firsts).select("id", F.coalesce("leader", head).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
+    led = contents(rows.where("n > 0")).select("id", F.coalesce("leader", head).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     groups = common.save(components(led), "groups")
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
-    some = groups.select(F.col("node").alias("id"), F.col("component").alias("region"))
+    some = by_set.join(groups, F.col("h1") == F.col("node")).select(F.col("class_id").alias("id"), F.col("component").alias("region"))
     if groups.count() <= SENT_ROWS:
         some = F.broadcast(some)
 
