@@ -49,6 +49,17 @@ def drop(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps from task to task; it keeps things for one key alone, so another operator's go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

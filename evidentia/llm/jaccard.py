@@ -163,7 +163,7 @@ def sketched(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, parts = Shingler(words), Parts(threshold, 2, sent.value)
+        shingler, parts = common.held(("shingles", words), lambda: Shingler(words)), Parts(threshold, 2, sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -186,6 +186,7 @@ def contents(rows: DataFrame) -> DataFrame:
     """
 
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("parts", dict)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 slice_ = batch.slice(at, SLICE)
@@ -292,6 +293,8 @@ def joined_leaves(rows: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) within each region; rows has region, id and items, and its regions fit one task."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("links", dict)
+
         def every():
             for batch in batches:
                 yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
@@ -375,6 +378,8 @@ def joined_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     right = pairs.where("x <> y").alias("p").join(numbered.alias("n"), (F.col("p.region") == F.col("n.region")) & (F.col("y") == F.col("n.block"))).select("pair", F.lit(1).alias("side"), "id", "items", "root")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("links", dict)
+
         def every():
             for batch in batches:
                 yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
@@ -445,13 +450,15 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     head = F.min(F.when(F.col("leader").isNull(), F.col("id"))).over(Window.partitionBy("part"))
     led = contents(rows.where("n > 0")).select("id", F.coalesce("leader", head).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     groups = common.save(components(led), "groups")
+    sketches, rows = rows, common.save(rows.select("doc_id", "n", "h1", "h2"), "sets")
+    common.drop(sketches)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
     some = by_set.join(groups, F.col("h1") == F.col("node")).select(F.col("class_id").alias("id"), F.col("component").alias("region"))
     if groups.count() <= SENT_ROWS:
         some = F.broadcast(some)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler = common.held(("shingles", words), lambda: Shingler(words))
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -462,6 +469,7 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     active = common.save(active, "active")
     # repeated rows of one doc_id: one set each, all of them compared
     linked = components(joined_regions(active, threshold))
+    common.drop(active)
     known = by_set.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select("h1", "h2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))

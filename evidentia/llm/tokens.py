@@ -218,14 +218,9 @@ def _room(held: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """The worker's own encoder, which keeps its words from one task to the next."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return common.held(("words", path), lambda: WordEncoder(path))
 
 
 def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
