@@ -28,9 +28,9 @@ from . import common
 RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
 #: Words up to this length are kept in a worker's memory, at most so many of them.
-CACHE_CHARS, CACHE_WORDS = 40, 750_000
+CACHE_CHARS, CACHE_WORDS = 40, 500_000
 #: Bytes of text whose words are looked up together.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 5 << 20
 
 BLOCKS = "shard int, block int, start_in_shard long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 

@@ -404,6 +404,7 @@ def scored(docs: DataFrame, model: Model | None, keep_below: float | None = None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("scores", dict)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             scores = [score_of(t.as_py() or "", sent.value) if sent.value else 0.0 for t in texts]
