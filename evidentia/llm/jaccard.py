@@ -297,7 +297,8 @@ def joined_leaves(rows: DataFrame, threshold: float) -> DataFrame:
 
         def every():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+                for at in range(0, batch.num_rows, 200):
+                    yield from zip(*(batch.column(i).slice(at, 200).to_pylist() for i in range(3)), strict=True)
 
         for _, group in groupby(every(), key=lambda r: r[0]):
             held = list(group)
@@ -382,7 +383,8 @@ def joined_blocks(rows: DataFrame, threshold: float) -> DataFrame:
 
         def every():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+                for at in range(0, batch.num_rows, 200):
+                    yield from zip(*(batch.column(i).slice(at, 200).to_pylist() for i in range(5)), strict=True)
 
         for _, group in groupby(every(), key=lambda r: r[0]):
             held = list(group)
