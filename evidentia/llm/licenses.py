@@ -1,10 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A template's distinct tokens stand in one global order, rarest in the corpus first. A block can hold the
-wanted share of them only if it holds one of the first few (prefix filter); it must have tokens enough
-(length filter), and the place of the token it shares must leave enough of the template (positional
-filter). Blocks that pass are checked against the template exactly, so every block that meets the
-threshold is found. The templates are a constant, so each document meets all of them where it lies.
+Tokens stand in one global order, rarest in the corpus first. A block can hold the wanted share of a template
+only if it holds one of the template's first few tokens (prefix filter); it must have template tokens enough
+(length filter), and so must the part of the order from the first token on that both have (positional filter).
+Blocks that pass are checked against the template exactly, so every block that meets the threshold is found.
+The templates are a constant, so each document meets all of them where it lies.
 """
 
 from __future__ import annotations
@@ -67,23 +67,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     words = docs.select("doc_id", words_of(common.text_or_empty()).alias("words"))
     vocabulary = sorted({w for _, t in templates for w in _tokens(t)})
     seen = frequencies(words, vocabulary)
+    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     known, prefixes = [], set()
     for label, t in templates:
-        distinct = sorted(set(_tokens(t)), key=lambda w: (seen.get(w, 0), w))
-        need = ceil(threshold * len(distinct) - 1e-9)
-        # the place of a token in a prefix leaves at least `need` tokens from it on
-        prefix = distinct[: len(distinct) - need + 1]
+        ranks = sorted(order.index(w) + 1 for w in set(_tokens(t)))
+        need = ceil(threshold * len(ranks) - 1e-9)
+        prefix = ranks[: len(ranks) - need + 1]
         prefixes |= set(prefix)
-        known.append(F.struct(F.lit(label).alias("label"), F.lit(len(_tokens(t))).alias("n"), F.lit(need).alias("need"), _array(prefix).alias("prefix"), _array(distinct).alias("tokens")))
-    template, first = F.array(*known), _array(sorted(prefixes))
+        known.append(F.struct(F.lit(label).alias("label"), F.lit(len(_tokens(t))).alias("n"), F.lit(need).alias("need"), _longs(prefix).alias("prefix"), _longs(ranks).alias("tokens")))
+    template, ordered, first = F.array(*known), _array(order), _array([order[r - 1] for r in sorted(prefixes)])
 
+    # prefix filter: places of tokens that a template's block must have one of
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(first, x["w"]))
+    hits = F.transform(hits, lambda x: F.struct(F.array_position(ordered, x["w"]).alias("rank"), x["i"].alias("i")))
+    of = lambda t: F.filter("hits", lambda h: F.array_contains(t["prefix"], h["rank"]))
     near = F.flatten(F.transform(template, lambda t: F.transform(
         # the two blocks that a place lies in
-        F.array_distinct(F.flatten(F.transform(F.filter("hits", lambda h: F.array_contains(t["prefix"], h["w"])), lambda h: F.array(F.floor(h["i"] / t["n"]).cast("int"), F.greatest(F.lit(0), F.floor(h["i"] / t["n"]).cast("int") - 1))))),
-        lambda b: F.struct(t["label"].alias("label"), t["need"].alias("need"), t["tokens"].alias("tokens"), (b * t["n"]).alias("first"), F.array_distinct(F.slice("words", b * t["n"] + 1, 2 * t["n"])).alias("block")),
+        F.array_distinct(F.flatten(F.transform(of(t), lambda h: F.array(F.floor(h["i"] / t["n"]).cast("int"), F.greatest(F.lit(0), F.floor(h["i"] / t["n"]).cast("int") - 1))))),
+        lambda b: F.struct(
+            t["label"].alias("label"), t["need"].alias("need"), t["tokens"].alias("tokens"), (b * t["n"]).alias("first"),
+            F.array_min(F.transform(F.filter(of(t), lambda h: (h["i"] >= b * t["n"]) & (h["i"] < (b + 2) * t["n"])), lambda h: h["rank"])).alias("shared"),
+            # ranks of the block's tokens; words of no template share nothing and come before all others
+            F.transform(F.array_intersect(F.slice("words", b * t["n"] + 1, 2 * t["n"]), ordered), lambda w: F.array_position(ordered, w)).alias("block"),
+        ),
     )))
-    checked = F.transform(F.filter("near", lambda c: F.size(c["block"]) >= c["need"]), lambda c: F.struct(c["label"].alias("label"), c["first"].alias("first"), (F.size(F.array_intersect(c["block"], c["tokens"])) / F.size(c["tokens"])).alias("containment")))
+    long_enough = F.filter("near", lambda c: F.size(c["block"]) >= c["need"])
+    # positional filter: template and block share nothing before the first token of the prefix that the block has,
+    # so what either has from there on bounds what they share
+    placed = F.filter(long_enough, lambda c: F.least(F.size(F.filter(c["block"], lambda r: r >= c["shared"])), F.size(F.filter(c["tokens"], lambda r: r >= c["shared"]))) >= c["need"])
+    checked = F.transform(placed, lambda c: F.struct(c["label"].alias("label"), c["first"].alias("first"), (F.size(F.array_intersect(c["block"], c["tokens"])) / F.size(c["tokens"])).alias("containment")))
     none = F.from_json(F.lit("[]"), "array<struct<label:string,first:int,containment:double>>")
     out = words.withColumns({"joined": F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), "hits": F.when(F.arrays_overlap("words", first), hits)})
     out = out.withColumn("near", F.when(F.size("hits") > 0, near)).withColumn("matches", F.coalesce(F.filter(checked, lambda m: m["containment"] >= threshold - 1e-9), none))
@@ -114,5 +126,9 @@ def _array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def _longs(ranks: list[int]) -> Column:
+    return F.array(*[F.lit(r).cast("long") for r in ranks])
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents")).drop("matches")
