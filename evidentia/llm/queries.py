@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import chat, decontamination, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from . import chat, decontamination, jaccard, licenses, mixing, quality, secrets, sharding, sql, tokens, toxicity
 
 QUERIES = {
     "op1_token_ids": tokens.op1_token_ids,
@@ -15,4 +15,4 @@ QUERIES = {
     "op10_benchmark_leaks": decontamination.op10_benchmark_leaks,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_jaccard_join": sql.jaccard(), "op8_license_scan": sql.licenses()}

@@ -1,11 +1,16 @@
 """The training-data operators against brute force, on small tables with nulls, ties, copies and long texts."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
+import lzma
 import random
 import re
+import textwrap
+import time
+import tracemalloc
 import zlib
 from urllib.parse import quote
 
@@ -371,6 +376,12 @@ SECRET = "password=abcdefghijklmnop"
         *("/config"[:k] + base64.b64encode(SECRET.encode()).decode() for k in range(1, 5)),
         *("/config"[:k] + base64.b64encode(gzip.compress(SECRET.encode())).decode() for k in range(1, 5)),
         base64.b64encode(SECRET.encode() + b"xy").decode() + "z",
+        base64.b64encode(gzip.compress(b"first ") + gzip.compress(SECRET.encode())).decode(),
+        base64.b64encode(gzip.compress(SECRET[:12].encode()) + gzip.compress(SECRET[12:].encode())).decode(),
+        base64.b64encode(bz2.compress(b"first ") + bz2.compress(SECRET.encode())).decode(),
+        base64.b64encode(lzma.compress(SECRET.encode())).decode(),
+        base64.b64encode(zlib.compress(SECRET.encode(), wbits=-15)).decode(),
+        *(end.join(textwrap.wrap(base64.b64encode(f"{'to whom it may concern ' * 3}{SECRET}{' ' * 9}".encode()).decode(), 19)) for end in ("\n", "\r\n", "\n  ", "\\n")),
     ],
 )
 def test_secrets_of_layers_that_are_not_all_text(wrapped):
@@ -391,6 +402,48 @@ def test_secrets_over_the_border_of_pieces(monkeypatch):
         assert any(x.kind == 0 for x in secrets.scan_text(wrapped)[1])
 
 
+def test_secrets_of_compressed_layers_do_not_fill_the_memory():
+    wrapped = base64.b64encode(gzip.compress(b"a b c d\n" * (1 << 24) + SECRET.encode())).decode()  # 128 MB
+    tracemalloc.start()
+    assert any(x.kind == 0 for x in secrets.scan_text(wrapped)[1])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_secrets_beyond_what_is_held_of_a_run(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1_000)
+    monkeypatch.setattr(secrets, "HELD", 5_000)
+    for at in range(4_900, 5_100, 7):
+        wrapped = base64.b64encode(gzip.compress(("=" * at + SECRET + "=" * 9_000).encode())).decode()
+        assert any(x.kind == 0 for x in secrets.scan_text(wrapped)[1]), at
+
+
+@pytest.mark.parametrize("piece", ["a", "a.", "%4", "\\u", "\\u00", "aaaaaaaaaaaaaaaaaaaa\n", "password", "x\x9c"])
+def test_secrets_in_unbroken_texts_take_time_in_proportion(piece):
+    text = piece * (1_000_000 // len(piece)) + "%41 \\u0041"
+    start = time.process_time()
+    secrets.scan_text(text)
+    assert time.process_time() - start < 30
+
+
+def test_base_secrets_of_every_document_by_character(docs, rows):
+    """The base spans found by trying every place, kind by kind."""
+    rng = random.Random(4)
+    parts = ["password", "PassWD", "secret", "token", "apikey", "api_key", '"', "'", " ", "  ", ":", "=", "AKIA", "AB12" * 4, "0123abcd" * 2, "abcdef", "x-y/z+" * 3, "é", "\n", "%", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)] + [t or "" for _, t, *_ in rows if len(t or "") < 5_000]
+    kinds = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", r"(AKIA[A-Z0-9]+)", r"([0-9a-f]+)")
+    for text in texts:
+        wanted = []
+        for kind, (pattern, least) in enumerate(zip(kinds, (12, 18, 16), strict=True)):
+            at = 0
+            while at < len(text):
+                m = re.compile(pattern, re.ASCII).match(text, at)
+                if m and len(m[1]) >= least:
+                    wanted.append((m.start(), kind, m.end()))
+                at = m.end() if m else at + 1
+        assert [tuple(s) for s in secrets.base_spans(text)] == sorted(wanted)
+
+
 def test_shards(docs, rows, nothing):
     placed = sharding.assign(sharding.measured(docs).select("doc_id", "size", "text_crc32"), 5, ["doc_id", "size", "text_crc32"])
     out = placed.collect()
@@ -444,6 +497,24 @@ def test_license_blocks_against_brute_force(spark):
         assert got[i] == {x for x in blocks if x[1] >= 0.7 - 1e-9}
 
 
+def test_license_blocks_beside_many_partial_ones(spark, nothing):
+    """Blocks that hold a rare token, and those that hold too few of the more frequent ones, are told apart."""
+    rng = random.Random(9)
+    templates = (("t", " ".join(f"q{i}" for i in range(20))), ("u", "q0 q1 q2 q3 q4"), ("v", "q3"))
+    texts = []
+    for i in range(80):
+        some = [f"q{k}" for k in sorted(rng.sample(range(20), rng.randint(0, 20)))]
+        texts.append((i, " ".join(some + [f"q{rng.randrange(19)}"] * rng.randint(0, 30) + ["z"] * rng.randint(0, 9) + some)))
+    got = {r.doc_id: {(m.label, m.first, round(m.containment, 6)) for m in r.matches} for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), templates, 0.6).collect()}
+    for i, t in texts:
+        words, wanted = t.split(), set()
+        for label, text in templates:
+            tokens, n = set(text.split()), len(text.split())
+            wanted |= {(label, b, round(len(set(words[b : b + 2 * n]) & tokens) / n, 6)) for b in range(0, len(words), n)}
+        assert got[i] == {x for x in wanted if x[2] >= 0.6 - 1e-9}
+    assert licenses.scan(nothing.select("doc_id", "text")).count() == 0
+
+
 def test_quality(docs, rows, nothing):
     got = collections.defaultdict(set)
     for r in quality.judge(docs).collect():
