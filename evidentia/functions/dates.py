@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Holidays by month and day for all states and for some, Easter Sundays, and the states
-# that keep Corpus Christi; days from Easter to the movable holidays of all states.
+# Holidays by month and day for all states and for some, and the states that keep Corpus
+# Christi; days from Easter to the movable holidays of all states.
 FIXED_ALL = ((1, 1), (5, 1), (10, 3), (12, 25), (12, 26))
 FIXED_BY_STATE = {
     "NW": ((11, 1), (10, 31)), "BY": ((1, 6), (8, 15)), "BW": ((1, 6), (8, 15)), "ST": ((1, 6), (10, 31)), "RP": ((8, 15),), "SL": ((8, 15),), "SN": ((10, 31),), "TH": ((10, 31),),
     "BB": ((10, 31),), "MV": ((10, 31),), "HB": ((10, 31),), "SH": ((10, 31),), "NI": ((10, 31),), "HH": ((10, 31),), "HE": (), "BE": (),
 }
-EASTER = {2024: (3, 31), 2025: (4, 20), 2026: (4, 5), 2027: (3, 28)}
 MOVABLE_ALL, CORPUS_CHRISTI, CORPUS_CHRISTI_STATES = (-2, 1, 39, 50), 60, ("BY", "BW", "HE", "NW", "RP", "SL")
 #: First days of the legal regimes, the oldest without one.
 REGIMES = (("a.F._vor_2023", None), ("a.F._2023", "2023-07-01"), ("a.F._2025", "2025-01-01"), ("n.F._2026", "2026-07-01"))
@@ -20,18 +21,25 @@ REGIMES = (("a.F._vor_2023", None), ("a.F._2023", "2023-07-01"), ("a.F._2025", "
 RECEIPT_DAYS = 4
 
 
+def easter(year: int) -> dt.date:
+    """Easter Sunday in the Gregorian calendar: the Sunday after the first full moon of spring, from its epact."""
+    century, golden = year // 100, year % 19
+    moon = (19 * golden + 15 + century - century // 4 - (8 * century + 13) // 25) % 30
+    if moon == 29 or (moon == 28 and golden > 10):  # the lunar months that are a day short
+        moon -= 1
+    full_moon = dt.date(year, 3, 21) + dt.timedelta(days=moon)
+    return full_moon + dt.timedelta(days=7 - (full_moon.weekday() + 1) % 7)
+
+
 def calendar(spark: SparkSession, first: str, last: str, states: tuple[str, ...] = tuple(FIXED_BY_STATE)) -> DataFrame:
     """(day, state, is_workday, next_workday) for every day and state.
 
-    Easter outside the table takes the nearest year's month and day. next_workday is the first workday on
-    or after the day; days near the end look past it.
+    next_workday is the first workday on or after the day; days near the end look past it.
     """
-    import datetime as dt
-
     begin, end = dt.date.fromisoformat(first), dt.date.fromisoformat(last) + dt.timedelta(days=20)
     rows = set()
     for year in range(begin.year, end.year + 1):
-        sunday = dt.date(year, *EASTER[min(max(year, min(EASTER)), max(EASTER))])
+        sunday = easter(year)
         for state in states:
             days = [dt.date(year, *md) for md in (*FIXED_ALL, *FIXED_BY_STATE[state])] + [sunday + dt.timedelta(days=k) for k in MOVABLE_ALL]
             if state in CORPUS_CHRISTI_STATES:

@@ -69,12 +69,16 @@ def multi_area_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.first_seen(ranked.join(firsts, "area"), ["doc_id"], ["area_ord"]).select("area", "doc_id", "size", "rank")
 
 
-NORMS = "Der Anspruch nach § 11b SGB II und § 45/48/50 Abs. 2 SGB X besteht, vgl. § 1601 BGB n.F."
-
-
 def norm_ref_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Citations in notices: the documents hold none, so each is set behind one that does."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(NORMS + " "), F.coalesce("text", F.lit(""))).alias("text"))
+    """Citations in notices: the documents hold none, so most are given some of their own.
+
+    One in seven cites a statute that is not known, one in five cites nothing.
+    """
+    number = lambda k: (F.col("doc_id") % k).cast("string")
+    letter, clause = F.when(F.col("doc_id") % 3 == 0, "b").otherwise(""), F.when(F.col("doc_id") % 4 == 1, " Abs. 2 Satz 1").otherwise("")
+    statute = F.when(F.col("doc_id") % 7 == 0, "XYZ").when(F.col("doc_id") % 2 == 0, "SGB  II n.F.").otherwise("BGB")
+    cited = F.concat(F.lit("Nach § 1"), number(400), letter, clause, F.lit(" "), statute, F.lit(" und §§ 45/9"), number(50), F.lit(" SGB X gilt: "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 5 == 0, "").otherwise(cited), F.coalesce("text", F.lit(""))).alias("text"))
     return docs.select("doc_id", F.posexplode(T.norm_references(F.col("text"))).alias("pos", "norm"))
 
 
@@ -111,7 +115,9 @@ ORACLE_SQL = {
  r AS (SELECT area, doc_id, length(text) AS size, row_number() OVER (PARTITION BY area ORDER BY length(text) DESC NULLS LAST, doc_id) AS rank FROM documents JOIN a USING (source)),
  f AS (SELECT r.*, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM r JOIN (SELECT area, min(ord) AS o FROM a GROUP BY area) USING (area) WHERE rank <= 10)
  SELECT area, doc_id, CAST(size AS INTEGER) AS size, CAST(rank AS INTEGER) AS rank FROM f WHERE k = 1""",
-    "norm_ref_extract": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, norm FROM documents, (VALUES (0, '§ 11b SGB II'), (1, '§ 45 SGB X'), (2, '§ 48 SGB X'), (3, '§ 50 SGB X'), (4, '§ 1601 BGB')) v(pos, norm)",
+    "norm_ref_extract": """WITH c AS (SELECT doc_id, 0 AS place, '§ 1' || (doc_id % 400) || CASE WHEN doc_id % 3 = 0 THEN 'b' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN ' SGB II' ELSE ' BGB' END AS norm FROM documents WHERE doc_id % 7 <> 0
+ UNION ALL SELECT doc_id, 1, '§ 45 SGB X' FROM documents UNION ALL SELECT doc_id, 2, '§ 9' || (doc_id % 50) || ' SGB X' FROM documents)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS INTEGER) AS pos, norm FROM c WHERE doc_id % 5 <> 0""",
     "norm_ref_lookup": """WITH p AS (SELECT doc_id AS chunk_id, '§ ' || (doc_id % 60) || CASE WHEN doc_id % 7 = 0 THEN 'b' ELSE '' END AS paragraph FROM documents)
  SELECT paragraph, chunk_id, 'SGB II > ' || paragraph || ' > Abs. 1' AS path, CAST(rank AS INTEGER) AS rank, paragraph || ' Abs. 1 SGB II' AS norm
  FROM (SELECT *, row_number() OVER (PARTITION BY paragraph ORDER BY chunk_id) AS rank FROM p WHERE paragraph IN ('§ 11b', '§ 14b', '§ 7', '§ 45')) WHERE rank <= 5""",

@@ -78,13 +78,17 @@ def month_aggregate(spark, sf_dir):
     return sums.withColumn("month_abs", F.sum(F.abs("sum_difference")).over(Window.partitionBy("month")).cast(M.MONEY))
 
 
+#: Easter Sundays as published, to hold the rule against.
+_EASTER = ("2024-03-31", "2025-04-20", "2026-04-05", "2027-03-28", "2028-04-16", "2029-04-01", "2030-04-21", "2031-04-13", "2032-03-28", "2033-04-17")
+
+
 def _holidays(states) -> str:
     import datetime as dt
 
     rows = []
     for state in states:
-        for year in range(2024, 2034):
-            easter = dt.date(year, *D.EASTER[min(max(year, 2024), 2027)])
+        for easter in map(dt.date.fromisoformat, _EASTER):
+            year = easter.year
             days = [dt.date(year, *x) for x in (*D.FIXED_ALL, *D.FIXED_BY_STATE[state])] + [easter + dt.timedelta(days=k) for k in (*D.MOVABLE_ALL, *((D.CORPUS_CHRISTI,) if state in D.CORPUS_CHRISTI_STATES else ()))]
             rows += [f"(DATE '{d}', '{state}')" for d in sorted(set(days))]
     return ", ".join(rows)

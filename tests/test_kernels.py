@@ -77,6 +77,29 @@ def test_masking_gives_the_text_back(spark):
     assert got[1].restored == text and got[2].masked == "" and got[3].mapping == {}
 
 
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [
+        ("IBAN", "DE89 3704 0044 0532 0130 00"), ("IBAN", "DE89370400440532013000"), ("BG_NUMMER", "12345 // 1234567"), ("BG_NUMMER", "12345/1234567"),
+        ("SV_NUMMER", "65 170839 J 008"), ("SV_NUMMER", "65170839J008"), ("EMAIL", "a.b+c@mail.example-x.org"), ("STEUER_ID", "12 345 678 901"), ("STEUER_ID", "12345678901"),
+        ("TELEFON", "+49 151 1234567"), ("TELEFON", "030/123 456-78"), ("TELEFON", "0221-1234567"), ("TELEFON", "+49 (0)30 123456"), ("TELEFON", "0049 30 1234567"), ("TELEFON", "+4915112345678"),
+    ],
+)
+def test_detectors_by_public_formats(kind, value):
+    masked, mapping = pii.mask_text(f"Siehe {value}, danke.")
+    assert mapping == {f"[[{kind}_1]]": value} and masked == f"Siehe [[{kind}_1]], danke."
+
+
+@pytest.mark.parametrize("text", ["§ 11b SGB II", "am 01.02.2024 um 08:30", "1234 Euro 56", "DE12", "a@b", "12345/12", "0,50 Euro und 007"])
+def test_detectors_leave_other_numbers_alone(text):
+    assert pii.mask_text(text) == (text, {})
+
+
+def test_easter():
+    published = ["1943-04-25", "1954-04-18", "1961-04-02", "1981-04-19", "2000-04-23", "2008-03-23", "2024-03-31", "2025-04-20", "2026-04-05", "2027-03-28", "2038-04-25", "2049-04-18", "2076-04-19"]
+    assert [dates.easter(int(d[:4])).isoformat() for d in published] == published
+
+
 def test_norms(spark):
     row = spark.range(1).select(T.norm_references(F.lit("§ 11b Abs. 1 SGB II n.F. und §§ 45/48 SGB X, § 1 XYZ")).alias("n")).first()
     assert row.n == ["§ 11b SGB II", "§ 45 SGB X", "§ 48 SGB X"]
