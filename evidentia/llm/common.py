@@ -29,13 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}/{name}"
+
+
 def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as Parquet in the shared folder and returns it as read from there.
 
     This cuts the lineage, so that later steps do not depend on executors that may be lost.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidentia/{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path  # for drop()

@@ -1,4 +1,8 @@
-"""DuckDB SQL for those queries whose rows plain SQL can give: no filters, no pivots, every candidate counted."""
+"""DuckDB SQL for those queries whose rows plain SQL can give, over whole tables and by plainer ways.
+
+jaccard() finds candidates by a prefix of each set's rarest shingles, which leaves out no link; all else counts
+every candidate.
+"""
 
 from .licenses import BASE, TEMPLATES, THRESHOLD
 
@@ -68,3 +72,47 @@ component AS (SELECT id, min(least_id) AS component_id FROM reached GROUP BY id)
 SELECT doc_id, len(sets.s)::BIGINT AS n_shingles,
     CASE WHEN len(sets.s) = 0 THEN doc_id ELSE id END AS class_id, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE component_id END AS component_id
 FROM sets JOIN class ON class.s = list_sort(sets.s) JOIN component USING (id)"""
+
+
+#: Checksum of the bytes of a decimal number: a table of 256 steps, then one step a byte.
+_CRC_TABLE = "SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))"
+_CRC = "xor(list_reduce(list_transform(string_split({}::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Every node of the trees over leaves (g, i, h, n): level, n nodes of its level."""
+    return f"""{name} (level, g, i, h, n) AS (SELECT 0, g, i, h, n FROM {leaves} UNION ALL
+    SELECT level + 1, g, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 1) // 2) FROM {name} WHERE n > 1 GROUP BY level, g, i // 2),
+{name}_path AS (SELECT leaf.g, leaf.i, list({{'b': CASE WHEN above.i & 1 = 1 THEN other.h ELSE '' END, 'a': CASE WHEN above.i & 1 = 0 THEN coalesce(other.h, '') ELSE '' END}} ORDER BY above.level) AS p
+    FROM {leaves} leaf JOIN {name} above ON above.g = leaf.g AND above.i = leaf.i >> above.level AND above.n > 1
+    LEFT JOIN {name} other ON other.g = above.g AND other.level = above.level AND other.i = xor(above.i, 1) GROUP BY leaf.g, leaf.i)"""
+
+
+def merkle() -> str:
+    framed = lambda v: f"coalesce(strlen(({v})::VARCHAR)::VARCHAR || ':' || ({v})::VARCHAR, '-')"
+    leaf = lambda n: "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", n, "text"))) + ")"
+    return f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf("n_chars")} AS h,
+    CASE WHEN {_CRC.format("doc_id")} % 7 = 0 AND n_chars IS NOT NULL THEN {leaf("n_chars + 1")} END AS tampered FROM documents, crc),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+{_tree("low", "leaves")},
+heads AS (SELECT 0 AS g, g AS of, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1),
+{_tree("high", "heads")},
+whole AS (SELECT leaves.*, heads.h AS subroot, list_concat(coalesce(l.p, []), coalesce(u.p, [])) AS p
+    FROM leaves JOIN heads ON heads.of = leaves.g LEFT JOIN low_path l ON l.g = leaves.g AND l.i = leaves.i LEFT JOIN high_path u ON u.i = heads.i),
+fold (g, i, k, node) AS (SELECT g, i, 1, coalesce(tampered, h) FROM leaves UNION ALL
+    SELECT fold.g, fold.i, k + 1, sha256(p[k].b || node || p[k].a) FROM fold JOIN whole ON whole.g = fold.g AND whole.i = fold.i WHERE k <= len(p))
+SELECT doc_id, whole.h AS leaf, subroot, high.h AS root, sha256(array_to_string(list_transform(p, lambda s: s.b || s.a), '')) AS proof_sha256,
+    node AS folded_root, node = high.h AS verified
+FROM whole JOIN fold ON fold.g = whole.g AND fold.i = whole.i AND fold.k = len(p) + 1, high WHERE high.n = 1"""
+
+
+def warc() -> str:
+    digest = "array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31), 1)), '')"
+    return f"""
+WITH hashed AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+ranked AS (SELECT *, max(page_id) OVER same AS response, row_number() OVER (PARTITION BY hex, payload_bytes ORDER BY page_id DESC NULLS LAST) AS place
+    FROM hashed WINDOW same AS (PARTITION BY hex, payload_bytes))
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, {digest} AS payload_digest,
+    CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN response END AS refers_to FROM ranked"""
