@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.automaton import Automaton
+from evidentia.operators import names as gazetteer
+
 _BLANK = "[ \\t\\n]?"  # single blanks that groups of digits may be printed with
 
 
@@ -32,8 +35,16 @@ PATTERNS = {
     "TELEFON": "(?:(?:\\+|\\b00)49[ /-]?(?:\\(0\\)[ /-]?)?|\\b0)[1-9][0-9]{1,4}\\)?(?: ?[ /-]?[0-9]){3,10}\\b",
     # eleven digits, the first no zero, printed as two and three times three
     "STEUER_ID": f"\\b[1-9][0-9](?:{_BLANK}[0-9]{{3}}){{3}}\\b",
-    "NAME": r"(?:Herrn?|Frau)\s+(?:(?:Dr|Prof)\.\s+)*[A-ZÄÖÜ][a-zäöüß]+(?:\s+[A-ZÄÖÜ][a-zäöüß]+)?",
+    # a street's name ends in one of these words, then comes the number of a house or of two
+    "ADRESSE": r"(?:\b(?:Am|An der|Auf dem|Im|In der|Zum|Zur) )?\b[A-ZÄÖÜ][A-Za-zäöüß-]*(?: [A-ZÄÖÜ][a-zäöüß-]+)? ?(?:[Ss]traße|[Ss]trasse|[Ss]tr\.|[Aa]llee|[Pp]latz|[Gg]asse|[Ww]eg|[Rr]ing|[Dd]amm|[Uu]fer) ?[0-9]{1,4}(?: ?- ?[0-9]{1,4}| ?[a-h]\b)?",
+    # the date alone, where words before it say that it is one of birth
+    "GEBURTSDATUM": r"(?:[Gg]eboren am|[Gg]eb\.|[Gg]eburtsdatum:?|\*) ?([0-9]{1,2}\. ?[0-9]{1,2}\. ?(?:[0-9]{4}|[0-9]{2}))",
+    "NAME": r"(?:Herrn?|Frau|Fr\.|Hr\.)\s+(?:(?:Dr|Prof)\.\s+)*[A-ZÄÖÜ][a-zäöüß]+(?:\s+[A-ZÄÖÜ][a-zäöüß]+)?",
+    # the name alone, before words that only a person's name stands before
+    "PERSON": r"([A-ZÄÖÜ][a-zäöüß]+(?: [A-ZÄÖÜ][a-zäöüß]+)?)(?: wohnhaft in|, geboren am)",
 }
+#: What looks like an address but names an authority is none.
+AUTHORITY = "(?i)gericht|jobcenter|agentur|behörde|ministerium|rathaus"
 PLACEHOLDER = r"\[\[[A-Z_]+_[0-9]+\]\]"
 
 
@@ -42,38 +53,101 @@ def counted(text: Column, kind: str) -> Column:
     return F.regexp_count(text, F.lit(PATTERNS[kind]))
 
 
-def mask_text(text: str) -> tuple[str, dict[str, str]]:
-    """Masked text and placeholder -> value. Equal values of a kind share one placeholder, numbered by first place."""
-    values: dict[tuple[str, str], str] = {}
-    # what looks like a placeholder already is kept apart by a word joiner, which unmasking takes out again
-    out = text.replace("[[", "[⁠[")
-    for kind, pattern in PATTERNS.items():
+_JOINER = "\u2060"
+_AGE = re.compile("\\(?[ ]?(?:ca\\. )?[0-9]{1,3} (?:Jahre|J\\.)")
+_ADDED = f"{_JOINER} \\(ca\\. -?[0-9]+ Jahre\\){_JOINER}"
+
+
+def found_in(text: str, kind: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values that a detector finds, from left to right."""
+    for m in re.finditer(PATTERNS[kind], text):
+        if kind != "ADRESSE" or not re.search(AUTHORITY, m[0]):
+            yield m.span(m.re.groups)
+
+
+def age(date: str, year: int) -> int:
+    """Years from the date's year to the given one; of two-digit years, the last that lies before it."""
+    born = int(date.rpartition(".")[2])
+    return year - born if born >= 100 else (year - born) % 100
+
 
-        def named(m: re.Match, kind: str = kind) -> str:
-            key = (kind, m[0])
-            if key not in values:
-                values[key] = f"[[{kind}_{1 + sum(k == kind for k, _ in values)}]]"
-            return values[key]
+def mask_text(text: str, names: Callable[[str], Iterable[tuple[int, int]]] | None = None, year: int | None = None) -> tuple[str, dict[str, str]]:
+    """Masked text and placeholder -> value. Equal values of a kind share one placeholder, numbered by first place.
 
+    names finds further persons' names, as (start, end); they get placeholders like other persons. With a year, an
+    age that is not stated after a date of birth is added to its placeholder. unmask_text() undoes all of it.
+    """
+    values: dict[tuple[str, str], str] = {}
+    # what looks like a placeholder already is kept apart by a word joiner, which unmasking takes out again
+    out = re.sub(r"\[(?=\[)", f"[{_JOINER}", text.replace(_JOINER, _JOINER * 2))
+
+    def named(kind: str, value: str) -> str:
+        if (kind, value) not in values:
+            values[kind, value] = f"[[{kind}_{1 + sum(k == kind for k, _ in values)}]]"
+        return values[kind, value]
+
+    def replaced(part: str, kind: str, spans: Iterable[tuple[int, int]]) -> str:
+        pieces, at = [], 0
+        for start, end in spans:
+            if start < at:
+                continue
+            pieces += [part[at:start], named(kind, part[start:end])]
+            if kind == "GEBURTSDATUM" and year is not None and not _AGE.search(part[end : end + 60]):
+                pieces.append(f"{_JOINER} (ca. {age(part[start:end], year)} Jahre){_JOINER}")
+            at = end
+        return "".join((*pieces, part[at:]))
+
+    for kind in PATTERNS:
         parts = re.split(f"({PLACEHOLDER})", out)
-        out = "".join(p if i % 2 else re.sub(pattern, named, p) for i, p in enumerate(parts))
+        out = "".join(p if i % 2 else replaced(p, kind, found_in(p, kind)) for i, p in enumerate(parts))
+    if names:
+        out = replaced(out, "PERSON", names(out))
     return out, {v: value for (_, value), v in values.items()}
 
 
 def unmask_text(text: str, mapping: dict[str, str]) -> str:
-    out = re.sub(PLACEHOLDER, lambda m: mapping.get(m[0], m[0]), text)
-    return out.replace("[⁠[", "[[")
+    out = re.sub(f"({PLACEHOLDER})({_ADDED})?", lambda m: mapping[m[1]] if m[1] in mapping else m[0], text)
+    return re.sub(f"{_JOINER}({_JOINER})|(?<=\\[){_JOINER}(?=\\[)", lambda m: m[1] or "", out)
 
 
-def masked(docs: DataFrame) -> DataFrame:
-    """(doc_id, masked, mapping, restored): placeholders are numbered per document, which needs its state."""
+def masked(docs: DataFrame, names: Iterable[str] = (), year: int | None = None) -> DataFrame:
+    """(doc_id, masked, mapping, restored): placeholders are numbered per document, which needs its state.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names is a gazetteer of given names, of a size to send to every task. Null texts count as empty; null ids stay.
+    """
+    known = gazetteer.forms(names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(known)
+        persons = lambda text: ((a, b) for a, b, _ in gazetteer.spans_in(text, automaton, known))
         for batch in batches:
-            found = [mask_text(t if isinstance(t, str) else "") for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "masked": [m for m, _ in found], "mapping": [v for _, v in found], "restored": [unmask_text(m, v) for m, v in found]})
+            found = [mask_text(t.as_py() or "", persons if known else None, year) for t in batch.column("text")]
+            mappings = pa.array([list(v.items()) for _, v in found], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m for m, _ in found], pa.string()), mappings, pa.array([unmask_text(m, v) for m, v in found], pa.string())], names=["doc_id", "masked", "mapping", "restored"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, masked string, mapping map<string,string>, restored string")
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, masked string, mapping map<string,string>, restored string")
+
+def detected(docs: DataFrame, names: Iterable[str] = ()) -> DataFrame:
+    """(doc_id, start, end, rank, kind) of what each detector finds in whole texts by itself; they may overlap.
+
+    rank is the detector's place in the order in which they apply; names of the gazetteer come last.
+    """
+    known = gazetteer.forms(names)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(known)
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for rank, kind in enumerate(PATTERNS):
+                    out += [(doc_id, a, b, rank, kind) for a, b in found_in(text or "", kind)]
+                out += [(doc_id, a, b, len(PATTERNS), "PERSON") for a, b, _ in gazetteer.spans_in(text or "", automaton, known)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "rank", "kind"])
+
+    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start int, end int, rank int, kind string")
 
 
 def leaks(masked: Column, mapping: Column) -> Column:
