@@ -105,10 +105,3 @@ def with_fallback(first: DataFrame, other: DataFrame, least: int = 3) -> DataFra
     enough = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("query_id")
     added = other.join(enough, "query_id", "left_anti").join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return first.unionByName(added)
-
-
-def keyword_hits(terms: DataFrame, tokens: DataFrame, k: int = 5) -> DataFrame:
-    """Chunks by how many of a query's terms they hold; terms (query_id, term), tokens (chunk_id, term), both distinct."""
-    hits = terms.join(tokens, "term").where("query_id <> chunk_id").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("hits"))
-    position = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id"))
-    return hits.withColumn("rank", position).where(F.col("rank") <= k)

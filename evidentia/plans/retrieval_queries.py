@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.operators import contains
 from evidentia.operators import retrieval as R
 from evidentia.sources.tables import table, values
 
@@ -33,17 +34,25 @@ def vector_best_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _keyword_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-zà-ÿ]+"), lambda w: F.length(w) > 9))
-    tokens = docs.select(F.col("doc_id").alias("chunk_id"), F.explode(words(F.col("text"))).alias("term"))
-    terms = tokens.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
-    return R.keyword_hits(terms, tokens, k=5)
+    """Texts that hold most of the eight best keywords of a query's text, wherever in a word they stand."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    queries = T.with_keywords(docs.where("chunk_id % 100 = 0"))
+    terms = queries.select(F.col("chunk_id").alias("query_id"), F.explode(F.array_distinct(F.transform("keywords", F.lower))).alias("term"))
+    return contains.keyword_hits(terms, docs, k=5)
 
 
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keyword_leg(spark, sf_dir).select("query_id", "chunk_id", "hits", "rank", F.lit("keyword").alias("method"), F.lit(0.5).alias("distance"))
 
 
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold a phrase of five words of a benchmark item anywhere, case aside."""
+    phrase = F.regexp_extract(F.lower("text"), "^(?:[^ ]+ ){3}([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+)", 1)
+    patterns = table(spark, sf_dir, "benchmark").select(phrase.alias("pattern"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
+    return contains.pairs(patterns, texts).withColumnRenamed("id", "doc_id")
+
+
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, corpus = _legs(spark, sf_dir)
     fused = R.fuse(R.vector_search(queries, corpus, k=10), _keyword_leg(spark, sf_dir))
@@ -95,16 +104,20 @@ _FAR = """WITH far AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.labe
   round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS distance
   FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
  near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM far)"""
-_KEYS = """tok AS (SELECT DISTINCT doc_id AS chunk_id, w AS term FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zà-ÿ]+')) AS w FROM documents WHERE text IS NOT NULL) WHERE length(w) > 9),
- hit AS (SELECT q.chunk_id AS query_id, c.chunk_id, count(*) AS hits FROM tok q JOIN tok c ON q.term = c.term AND q.chunk_id <> c.chunk_id WHERE q.chunk_id % 100 = 0 GROUP BY ALL),
+_KEYS = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÄÖÜäöüßÀ-ÿ]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-zÄÖÜäöüßÀ-ÿ]+'), 1) AS i FROM documents WHERE doc_id % 100 = 0),
+ w1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(w) ORDER BY i) AS k FROM w WHERE length(w) > 2 AND lower(w) NOT IN ({", ".join(f"'{s}'" for s in T.STOP_WORDS)})),
+ w8 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN regexp_matches(w, '^[A-ZÄÖÜÀ-Þ]') THEN 0 ELSE 1 END, -length(w), i) AS r FROM w1 WHERE k = 1),
+ term AS (SELECT DISTINCT doc_id AS query_id, lower(w) AS term FROM w8 WHERE r <= 8),
+ hit AS (SELECT query_id, d.doc_id AS chunk_id, count(*) AS hits FROM term JOIN documents d ON contains(lower(d.text), term) AND query_id <> d.doc_id GROUP BY ALL),
  key AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM hit) WHERE rank <= 5)"""
 
-QUERIES = {f.__name__: f for f in (vector_topk_per_query, vector_threshold_count, vector_best_distance, keyword_search, hybrid_rrf, fallback_merge, multi_area_merge, norm_ref_extract, norm_ref_lookup)}
+QUERIES = {f.__name__: f for f in (vector_topk_per_query, vector_threshold_count, vector_best_distance, keyword_search, phrase_search, hybrid_rrf, fallback_merge, multi_area_merge, norm_ref_extract, norm_ref_lookup)}
 ORACLE_SQL = {
     "vector_topk_per_query": f"{_FAR} SELECT query_id, chunk_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank, label FROM near WHERE rank <= 10 AND distance < 1.0",
     "vector_threshold_count": f"{_FAR} SELECT query_id, count(*) AS n_below FROM far WHERE distance < 0.9 GROUP BY query_id",
     "vector_best_distance": f"{_FAR}, best AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY distance, query_id) AS k FROM near WHERE rank <= 10) SELECT chunk_id, query_id, round(distance, 6) AS distance FROM best WHERE k = 1 ORDER BY best.distance, chunk_id LIMIT 12",
     "keyword_search": f"WITH {_KEYS} SELECT query_id, chunk_id, hits, CAST(rank AS INTEGER) AS rank, 'keyword' AS method, CAST(0.5 AS DOUBLE) AS distance FROM key",
+    "phrase_search": "WITH p AS (SELECT DISTINCT regexp_extract(lower(text), '^(?:[^ ]+ ){3}([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+)', 1) AS pattern FROM benchmark) SELECT pattern, doc_id FROM p JOIN documents ON contains(lower(text), pattern) WHERE pattern <> ''",
     "hybrid_rrf": f"""{_FAR}, {_KEYS} SELECT query_id, chunk_id, round(s, 9) AS score, round(1 - s, 9) AS distance FROM (
  SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id, coalesce(CAST(1 AS DOUBLE) / (60 + v.rank), 0) + coalesce(CAST(1 AS DOUBLE) / (60 + k.rank), 0) AS s
  FROM (SELECT * FROM near WHERE rank <= 10) v FULL OUTER JOIN key k ON v.query_id = k.query_id AND v.chunk_id = k.chunk_id)""",
