@@ -62,7 +62,7 @@ def balance(cells: DataFrame, target: DataFrame, tolerance: float = 1e-9, most_s
     fixed = F.when((F.col("source_size") == 0) | (F.col("target") <= 0), F.lit(-700.0)).when(F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12), F.lit(700.0))
     start = F.coalesce(fixed, F.log(F.col("target") / F.col("source_size")))
     now = common.save(target.select("source", "source_size", "target", fixed.isNotNull().alias("fixed"), start.alias("tilt")), "tilts")
-    length, last = 0.0, math.inf
+    length, last, worst = 0.0, math.inf, 0.0
     for _ in range(most_steps):
         z = F.log1p("c.size") - mean
         raw = F.exp(F.least(F.col("t.tilt") + length * z, F.lit(700.0)))
@@ -80,13 +80,18 @@ def balance(cells: DataFrame, target: DataFrame, tolerance: float = 1e-9, most_s
         slope = (step["m"] or 0.0) + RIDGE * total * length
         worst = max(step["worst"] or 0.0, abs(slope) / max(total, 1.0))
         if worst <= tolerance:
+            common.drop(sums)
             break
         bend = (step["q"] or 0.0) - (step["cc"] or 0.0) + RIDGE * total
         move = max(-0.5, min(0.5, -(slope - (step["cg"] or 0.0)) / bend)) if bend > 0 else 0.0
         move = move if worst < 2 * last else move / 2  # back off where the caps make a step overshoot
         shift = F.when(F.col("fixed"), F.lit(0.0)).when(F.col("h") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), -(F.col("g") + F.col("c") * move) / F.col("h")))).otherwise(F.lit(-1.0))
-        now = common.save(sums.select("source", "source_size", "target", "fixed", (F.col("tilt") + shift).alias("tilt")), "tilts")
+        before, now = now, common.save(sums.select("source", "source_size", "target", "fixed", (F.col("tilt") + shift).alias("tilt")), "tilts")
+        common.drop(before)
+        common.drop(sums)
         length, last = length + move, worst
+    if worst > 1e-6:
+        raise ArithmeticError(f"sources are off their targets by {worst:.1e} after {most_steps} steps")
     return now, length, mean
 
 
@@ -95,8 +100,9 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> Dat
 
     Size counts words between blanks (null text: 0). A document has the whole part of its rate, and one copy more
     if its turn comes: classes of size go from the largest documents to the smallest, each carries to the next the
-    tokens it could not meet, and within a class the parts of copies are added up and evenly cut. They are added
-    up over ranges of rows first, so that no task holds a whole class or source. The same rows give the same
+    tokens it could not meet, and within a class the parts of copies are added up and evenly cut. Where a class is
+    to give so many copies that the greatest part would come round twice, its documents count alike, so each gives
+    one at most. All is added up over ranges of rows first, so that no task holds a whole class or source. The same rows give the same
     copies on every run; equal rows are interchangeable. Empty documents get the whole part alone.
     """
     spark = docs.sparkSession
@@ -105,7 +111,8 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> Dat
     cells = common.save(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
     plan, length, mean = balance(cells, targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights))
     plan = plan.withColumnRenamed("source", "of")
-    rate = F.least(F.lit(MOST), F.exp(F.least(F.col("tilt") + length * (F.log1p("size") - mean), F.lit(700.0))))
+    # sums of doubles hang on the order they are taken in: the digits that may differ are cut off
+    rate = F.least(F.lit(MOST), F.exp(F.least(F.round("tilt", 8) + round(length, 8) * (F.log1p("size") - round(mean, 8)), F.lit(700.0))))
     rated = sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "text_crc32", "source", "size", "source_size", "target", rate.alias("rate"))
     rated = rated.withColumns({"whole": F.floor(F.col("rate") + 1e-9), "class": F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / math.log(CLASS_RATIO)).cast("int")})
     rated = rated.withColumn("part", F.when(F.col("size") > 0, F.round(UNITS * F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).cast("long")).otherwise(F.lit(0)))
@@ -113,35 +120,46 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> Dat
     order = ["source", "class", "size", "turn", "doc_id", "text_crc32"]
     ranged = common.save(rated.repartitionByRange(common.shuffle_partitions(spark), *order).withColumn("range_id", F.spark_partition_id()), "ranges")
     key = ["source", "class"]
-    by_range = ranged.groupBy("range_id", *key).agg(F.sum("part").alias("parts"), F.sum(F.col("part") * F.col("size")).cast("double").alias("mass"), F.max("part").alias("most"))
+    one = (F.col("part") > 0).cast("long")
+    by_range = ranged.groupBy("range_id", *key).agg(
+        F.sum("part").alias("parts"), F.sum(one).alias("rows"), F.sum(F.col("part") * F.col("size")).cast("double").alias("mass"), F.sum(one * F.col("size")).cast("double").alias("words"), F.max("part").alias("most")
+    )
     by_range = common.save(by_range, "range_sums")  # a row for every range and class that meet: ranges and classes together
-    wanted = rounded(by_range.groupBy(*key).agg(F.sum("parts").alias("all_parts"), F.sum("mass").alias("mass"), F.max("most").alias("most")))
-    before = F.coalesce(F.sum("parts").over(Window.partitionBy(*key).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = by_range.select("range_id", *key, before.alias("base")).alias("b").join(wanted.alias("w"), [F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key]).select("b.range_id", *[F.col(f"b.{c}").alias(f"of_{c}") for c in key], "b.base", "w.all_parts", "w.extra")
+    wanted = rounded(by_range.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("parts", "rows", "mass", "words")], F.max("most").alias("most")))
+    before = Window.partitionBy(*key).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    begun = {f"base_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("parts", "rows")}
+    bases = by_range.withColumns(begun).alias("b").join(wanted.alias("w"), [F.col(f"b.{c}").eqNullSafe(F.col(f"w.{c}")) for c in key])
+    bases = bases.select("b.range_id", *[F.col(f"b.{c}").alias(f"of_{c}") for c in key], "w.alike", "w.extra", F.when(F.col("w.alike"), F.col("b.base_rows")).otherwise(F.col("b.base_parts")).alias("base"), F.when(F.col("w.alike"), F.col("w.rows")).otherwise(F.col("w.parts")).alias("all_parts"))
     within = Window.partitionBy("range_id", *key).orderBy(*order[2:]).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("upto", F.sum("part").over(within)).withColumnRenamed("range_id", "in_range")
+    summed = ranged.withColumns({"upto_parts": F.sum("part").over(within), "upto_rows": F.sum(one).over(within)}).withColumnRenamed("range_id", "in_range")
     picked = summed.join(bases, (F.col("in_range") == F.col("range_id")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("class") == F.col("of_class")))
+    picked = picked.withColumns({"part": F.when(F.col("alike"), one).otherwise(F.col("part")), "upto": F.when(F.col("alike"), F.col("upto_rows")).otherwise(F.col("upto_parts"))})
     picked = picked.withColumns({"high": (F.col("base") + F.col("upto")).cast("decimal(38,0)"), "all_parts": F.col("all_parts").cast("decimal(38,0)")})
     extra = F.when(F.col("extra") > 0, F.expr("((2 * high * extra + all_parts) div (2 * all_parts)) - ((2 * (high - part) * extra + all_parts) div (2 * all_parts))")).otherwise(F.lit(0))
     return picked.select("doc_id", "text_crc32", "source", "size", "source_size", "target", "rate", (F.col("whole") + extra).cast("long").alias("n_copies"))
 
 
 def rounded(classes: DataFrame) -> DataFrame:
-    """extra: how many documents of each class get one copy more, what is left over carried on within the source.
+    """extra: how many documents of each class get one copy more, what is left over carried on within the source;
+    alike: whether they count alike, as so many copies would bring some part round twice.
 
     A source has some 150 classes at most, so its list is short whatever its documents. No more is dealt than
-    gives every document one at most.
+    gives every document with a part one at most.
     """
 
     def step(acc: Column, x: Column) -> Column:
         want = acc["carry"] + x["mass"] / UNITS
-        size = x["mass"] / F.greatest(x["all_parts"], F.lit(1))
-        most = F.floor(x["all_parts"] / F.greatest(x["most"], F.lit(1)))
-        extra = F.when(x["mass"] > 0, F.greatest(F.lit(0.0), F.least(most.cast("double"), F.round(want / size)))).otherwise(F.lit(0.0))
-        return F.struct((want - extra * size).alias("carry"), F.concat(acc["out"], F.array(F.struct(x["class"].alias("class"), x["all_parts"].alias("all_parts"), extra.cast("long").alias("extra")))).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("carry"), F.from_json(F.lit("[]"), "array<struct<class:int,all_parts:bigint,extra:bigint>>").alias("out"))
-    lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "all_parts", "mass", "most")), asc=False).alias("classes"))
+        size = x["mass"] / F.greatest(x["parts"], F.lit(1))
+        by_part = F.round(F.try_divide(want, size))  # a class without a part has no size
+        alike = by_part > F.floor(x["parts"] / F.greatest(x["most"], F.lit(1)))
+        plain = x["words"] / F.greatest(x["rows"], F.lit(1))
+        dealt = F.when(alike, F.least(x["rows"].cast("double"), F.round(F.try_divide(want, plain)))).otherwise(by_part)
+        extra = F.when(x["mass"] > 0, F.greatest(F.lit(0.0), dealt)).otherwise(F.lit(0.0))
+        out = F.struct(x["class"].alias("class"), x["parts"].alias("parts"), x["rows"].alias("rows"), F.coalesce(alike, F.lit(False)).alias("alike"), extra.cast("long").alias("extra"))
+        return F.struct((want - extra * F.when(alike, plain).otherwise(size)).alias("carry"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("carry"), F.from_json(F.lit("[]"), "array<struct<class:int,parts:bigint,rows:bigint,alike:boolean,extra:bigint>>").alias("out"))
+    lists = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("class", "parts", "rows", "mass", "words", "most")), asc=False).alias("classes"))
     return lists.select("source", F.explode(F.aggregate("classes", start, step)["out"]).alias("x")).select("source", "x.*")
 
 

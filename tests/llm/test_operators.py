@@ -245,12 +245,19 @@ def test_mixing(spark, docs, rows, nothing):
         taken[r.source] += r.size * r.n_copies
     for s in size:
         largest = max(r.size for r in out if r.source == s)
-        assert abs(taken[s] - target[s]) <= max(0.1 * target[s], largest)
+        assert abs(taken[s] - target[s]) <= largest
     key = lambda d: sorted((r.doc_id, r.text_crc32, r.n_copies) for r in d.collect())
     assert key(got) == key(mixing.copies(docs.repartition(2)))
     assert mixing.mix(docs).columns == docs.columns and mixing.copies(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+def test_mixing_meets_its_targets(spark):
+    """Every source within its largest document, on whole tables; nothing above three times its size."""
+    for got in (mixing.op4_entropy_mix(spark, f"/root/testdata/{sf}") for sf in ("sf0.001", "sf0.01")):
+        off = got.groupBy("source_size").agg(F.abs(F.sum("taken") - F.first("target")).alias("off"), F.max("size").alias("largest"), F.max(F.expr("taken - 3 * size")).alias("over"))
+        assert off.where("off > largest OR over > 0").isEmpty()
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, None: 100}, {"a": 0, "b": 5}, {}, {f"s{i}": i * i + 1 for i in range(12)}])
 def test_targets(spark, sizes):
     table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
