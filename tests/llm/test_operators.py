@@ -396,6 +396,34 @@ def test_secrets_of_layers_that_are_not_all_text(wrapped):
     assert not any(b.kind == 0 for b in base) and any(x.kind == 0 and 4 <= x.start < x.end <= 4 + len(wrapped) for x in every)
 
 
+@pytest.mark.parametrize("window", range(9, 16))
+@pytest.mark.parametrize("level", [0, 1, 6, 9])
+def test_secrets_of_every_window(window, level):
+    packer = zlib.compressobj(level, wbits=window)
+    wrapped = base64.b64encode(b"some bytes " + packer.compress(SECRET.encode()) + packer.flush()).decode()
+    assert any(x.kind == 0 for x in secrets.scan_text(wrapped)[1])
+
+
+@pytest.mark.parametrize("coding", ["utf-16", "utf-16-le", "utf-16-be"])
+@pytest.mark.parametrize("before", ["", "x", "xy", "é"])
+def test_secrets_of_two_bytes_a_character(monkeypatch, coding, before):
+    inner = before.encode() + SECRET.encode(coding)
+    for wrapped in (base64.b64encode(inner), base64.b64encode(gzip.compress(inner))):
+        assert any(x.kind == 0 for x in secrets.scan_text(wrapped.decode())[1])
+    text = "ä" + "\0".join(SECRET) + "\0"
+    assert [(x.kind, x.start, x.end) for x in secrets.scan_text(text)[1]] == [(0, 1, len(text))]
+    monkeypatch.setattr(secrets, "PIECE", 10)  # over the border of pieces
+    assert any(x.kind == 0 for x in secrets.scan_text(base64.b64encode(gzip.compress(inner)).decode())[1])
+
+
+def test_secrets_of_any_ids(spark):
+    rows = [(None, SECRET), (9007199254740993, SECRET), (9007199254740993, SECRET), (-1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("spans", "n_hex", "base_sha256")}).coalesce(1)
+    got = secrets.scan(docs).collect()
+    assert sorted(((r.doc_id, r.n_assign) for r in got), key=repr) == sorted([(None, 1), (9007199254740993, 1), (9007199254740993, 1), (-1, 0)], key=repr)
+    assert secrets.scan(docs.limit(0)).collect() == []
+
+
 def test_secrets_keep_their_places_beside_bytes_that_are_no_text():
     text = "%FC%E2%82password%3Dabcdefghijklmnop%FC"
     assert [(x.kind, x.start, x.end) for x in secrets.scan_text(text)[1]] == [(0, text.index("password"), text.index("mnop") + 4)]
