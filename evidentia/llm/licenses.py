@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Tokens stand in one global order, rarest in the corpus first. A block can hold the wanted share of a template
-only if it holds one of the template's first few tokens (prefix filter); it must have template tokens enough
-(length filter), and so must the part of the order from the first token on that both have (positional filter).
-Blocks that pass are checked against the template exactly, so every block that meets the threshold is found.
+only if it holds one of the template's first few tokens (prefix filter); it must have places of template tokens
+enough (length filter), and so must the part of the order from the first token on that both have (positional
+filter). Blocks that pass are checked against the template exactly, so every block that meets the threshold is
+found. A block may begin at any word: one that begins between template tokens holds no more than the one that
+begins at its first, so these are looked at.
 The templates are a constant, so each document meets all of them where it lies.
 """
 
@@ -59,9 +61,8 @@ def frequencies(words: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Per document its words, base places, and the blocks that match templates.
 
-    Blocks are runs of twice a template's length that begin at multiples of it, so any passage of its
-    length lies whole in one. ``matches`` lists label, first word and containment of every block at or
-    above the threshold; score is the largest, 0 without a match. Base phrases are found by place. Null and
+    Blocks are runs of twice a template's length that begin at any of its tokens. ``matches`` lists label, first
+    word and containment of every block at or above the threshold; score is the largest, 0 without a match. Base phrases are found by place. Null and
     empty texts have no words; repeated rows are scanned each; other columns are ignored.
     """
     words = docs.select("doc_id", words_of(common.text_or_empty()).alias("words"))
@@ -77,28 +78,28 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
         known.append(F.struct(F.lit(label).alias("label"), F.lit(len(_tokens(t))).alias("n"), F.lit(need).alias("need"), _longs(prefix).alias("prefix"), _longs(ranks).alias("tokens")))
     template, ordered, first = F.array(*known), _array(order), _array([order[r - 1] for r in sorted(prefixes)])
 
-    # prefix filter: places of tokens that a template's block must have one of
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(first, x["w"]))
-    hits = F.transform(hits, lambda x: F.struct(F.array_position(ordered, x["w"]).alias("rank"), x["i"].alias("i")))
-    of = lambda t: F.filter("hits", lambda h: F.array_contains(t["prefix"], h["rank"]))
-    near = F.flatten(F.transform(template, lambda t: F.transform(
-        # the two blocks that a place lies in
-        F.array_distinct(F.flatten(F.transform(of(t), lambda h: F.array(F.floor(h["i"] / t["n"]).cast("int"), F.greatest(F.lit(0), F.floor(h["i"] / t["n"]).cast("int") - 1))))),
-        lambda b: F.struct(
-            t["label"].alias("label"), t["need"].alias("need"), t["tokens"].alias("tokens"), (b * t["n"]).alias("first"),
-            F.array_min(F.transform(F.filter(of(t), lambda h: (h["i"] >= b * t["n"]) & (h["i"] < (b + 2) * t["n"])), lambda h: h["rank"])).alias("shared"),
-            # ranks of the block's tokens; words of no template share nothing and come before all others
-            F.transform(F.array_intersect(F.slice("words", b * t["n"] + 1, 2 * t["n"]), ordered), lambda w: F.array_position(ordered, w)).alias("block"),
-        ),
-    )))
-    long_enough = F.filter("near", lambda c: F.size(c["block"]) >= c["need"])
+    found = F.filter(F.transform("words", lambda w, i: F.struct(F.array_position(ordered, w).alias("rank"), i.alias("i"))), lambda x: x["rank"] > 0)
+    # prefix filter: a text without the rare tokens of a template has no block of it, whatever else it holds
+    rare = lambda t: F.exists("found", lambda x: F.array_contains(t["prefix"], x["rank"]))
+    places = lambda t: F.when(rare(t), F.filter("found", lambda x: F.array_contains(t["tokens"], x["rank"]))).otherwise(F.slice("found", 1, 0))
+    placed = F.transform(template, lambda t: F.struct(*[t[c].alias(c) for c in ("label", "n", "need", "prefix", "tokens")], places(t).alias("places")))
+
+    def block(t: Column, p: Column, k: Column) -> Column:
+        within = F.filter(F.slice(t["places"], k + 1, 2 * t["n"]), lambda q: q["i"] < p["i"] + 2 * t["n"])
+        return F.struct(t["label"].alias("label"), t["need"].alias("need"), t["prefix"].alias("prefix"), t["tokens"].alias("tokens"), p["i"].alias("first"), F.array_distinct(F.transform(within, lambda q: q["rank"])).alias("block"))
+
+    # length filter: so many places must lie within a block's reach
+    reached = F.transform("places_of", lambda t: F.filter(F.transform(t["places"], lambda p, k: F.when(F.get(t["places"], k + t["need"] - 1)["i"] < p["i"] + 2 * t["n"], block(t, p, k))), lambda c: c.isNotNull()))
+    near = F.flatten(reached)
     # positional filter: template and block share nothing before the first token of the prefix that the block has,
     # so what either has from there on bounds what they share
-    placed = F.filter(long_enough, lambda c: F.least(F.size(F.filter(c["block"], lambda r: r >= c["shared"])), F.size(F.filter(c["tokens"], lambda r: r >= c["shared"]))) >= c["need"])
-    checked = F.transform(placed, lambda c: F.struct(c["label"].alias("label"), c["first"].alias("first"), (F.size(F.array_intersect(c["block"], c["tokens"])) / F.size(c["tokens"])).alias("containment")))
+    shared = F.transform("near", lambda c: F.struct(c["label"].alias("label"), c["first"].alias("first"), c["need"].alias("need"), c["tokens"].alias("tokens"), c["block"].alias("block"), F.array_min(F.array_intersect(c["block"], c["prefix"])).alias("shared")))
+    both = F.filter("shared", lambda c: F.least(F.size(F.filter(c["block"], lambda r: r >= c["shared"])), F.size(F.filter(c["tokens"], lambda r: r >= c["shared"]))) >= c["need"])
+    checked = F.transform(both, lambda c: F.struct(c["label"].alias("label"), c["first"].alias("first"), (F.size(F.array_intersect(c["block"], c["tokens"])) / F.size(c["tokens"])).alias("containment")))
     none = F.from_json(F.lit("[]"), "array<struct<label:string,first:int,containment:double>>")
-    out = words.withColumns({"joined": F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), "hits": F.when(F.arrays_overlap("words", first), hits)})
-    out = out.withColumn("near", F.when(F.size("hits") > 0, near)).withColumn("matches", F.coalesce(F.filter(checked, lambda m: m["containment"] >= threshold - 1e-9), none))
+    out = words.withColumns({"joined": F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), "found": F.when(F.arrays_overlap("words", first), found)})
+    out = out.withColumn("places_of", F.when(F.size("found") > 0, placed)).withColumn("near", near)
+    out = out.withColumn("shared", F.when(F.size("near") > 0, shared)).withColumn("matches", F.coalesce(F.filter(checked, lambda m: m["containment"] >= threshold - 1e-9), none))
 
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     counts, firsts, lasts, labels = [], [], [], []
@@ -131,4 +132,5 @@ def _longs(ranks: list[int]) -> Column:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License blocks and base phrases of every whole document."""
     return scan(common.table(spark, sf_dir, "documents")).drop("matches")

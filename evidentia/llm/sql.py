@@ -33,11 +33,11 @@ template (id, label, text) AS (VALUES {templates}),
 cut AS (SELECT id, label, {_TOKENS.format(_LOWER)} AS w FROM template),
 token AS (SELECT id, label, len(w) AS n, len(list_distinct(w)) AS size, unnest(list_distinct(w)) AS word FROM cut),
 place AS (SELECT row_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
-met AS (SELECT row_id, id, label, size, word, i // n AS block FROM place JOIN token USING (word)),
+met AS (SELECT row_id, id, label, n, size, word, i FROM place JOIN token USING (word)),
 block AS (
-    SELECT row_id, id, label, size, block, count(DISTINCT word) / any_value(size) AS containment
-    FROM (SELECT * FROM met UNION ALL SELECT * REPLACE (block - 1 AS block) FROM met WHERE block > 0)
-    GROUP BY row_id, id, label, size, block HAVING count(DISTINCT word) / any_value(size) >= {THRESHOLD}::DOUBLE - 1e-9),
+    SELECT a.row_id, a.id, a.label, count(DISTINCT b.word) / any_value(a.size) AS containment
+    FROM met a JOIN met b ON b.row_id = a.row_id AND b.id = a.id AND b.i >= a.i AND b.i < a.i + 2 * a.n
+    GROUP BY a.row_id, a.id, a.label, a.i HAVING count(DISTINCT b.word) / any_value(a.size) >= {THRESHOLD}::DOUBLE - 1e-9),
 matched AS (SELECT row_id, list(label) AS labels, max(containment) AS score FROM block GROUP BY row_id),
 base AS (SELECT row_id, doc_id, w, {places} FROM words),
 named AS (SELECT *, {every} AS every_place, list_filter([{base}], lambda x: x IS NOT NULL) AS base FROM base)

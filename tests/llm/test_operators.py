@@ -528,10 +528,21 @@ def test_license_blocks_against_brute_force(spark):
     wanted = set(template[0][1].split())
     for i, t in texts:
         words = t.split()
-        blocks = {(b, round(len(set(words[b : b + 24]) & wanted) / 12, 6)) for b in range(0, len(words), 12)}
+        blocks = {(b, round(len(set(words[b : b + 24]) & wanted) / 12, 6)) for b in range(len(words))}
+        if any(x[1] >= 0.7 - 1e-9 for x in blocks):  # the best of all blocks begins at a token of the template
+            assert max(x[1] for x in got[i]) == max(x[1] for x in blocks)
+        blocks = {x for x in blocks if words[x[0]] in wanted}
         assert got[i] == {x for x in blocks if x[1] >= 0.7 - 1e-9}
 
 
+def test_license_blocks_begin_at_any_word(spark):
+    """All tokens of a template within twice its length, wherever that begins."""
+    template = (("t", " ".join(f"q{i}" for i in range(12))),)
+    spread = " ".join(f"q{i} z" for i in range(12))
+    texts = [(k, "x " * k + spread + " x" * 9) for k in range(26)]
+    assert all(r.labels == "t" and r.score == 1.0 for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string"), template).collect())
+
+
 def test_license_blocks_beside_many_partial_ones(spark, nothing):
     """Blocks that hold a rare token, and those that hold too few of the more frequent ones, are told apart."""
     rng = random.Random(9)
@@ -545,7 +556,7 @@ def test_license_blocks_beside_many_partial_ones(spark, nothing):
         words, wanted = t.split(), set()
         for label, text in templates:
             tokens, n = set(text.split()), len(text.split())
-            wanted |= {(label, b, round(len(set(words[b : b + 2 * n]) & tokens) / n, 6)) for b in range(0, len(words), n)}
+            wanted |= {(label, b, round(len(set(words[b : b + 2 * n]) & tokens) / n, 6)) for b in range(len(words)) if words[b] in tokens}
         assert got[i] == {x for x in wanted if x[2] >= 0.6 - 1e-9}
     assert licenses.scan(nothing.select("doc_id", "text")).count() == 0
 
