@@ -49,7 +49,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each over all that the one before has kept, written and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.save(stage(spark, docs, sf_dir), name)
+        if before:
+            common.drop(before)
+        before = docs
     return docs
