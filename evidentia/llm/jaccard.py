@@ -32,8 +32,9 @@ from . import common
 
 #: What one task joins at once: documents, and elements of their sets (eight bytes each).
 LEAF_DOCS, LEAF_ELEMENTS = 2000, 3_000_000
-#: Pivots of a region that is split, and documents that meet them in one task.
-PIVOTS, CHUNK = 12, 256
+#: Pivots of a region that is split, and documents and elements of their sets that meet them at once; what meets them
+#: may come out once for each pivot.
+PIVOTS, CHUNK, CHUNK_ELEMENTS = 12, 256, 100_000
 #: Rows up to which the documents that have candidates are sent to all tasks rather than shuffled with the texts.
 SENT_ROWS = 500_000
 #: Documents looked at for shingles that many have, how many of these must have one, and how many such
@@ -42,8 +43,8 @@ COMMON_SAMPLE, COMMON_DOCS, COMMON_MOST = 5000, 3, 400_000
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
 
-#: Documents of which one stands for the others that share a part.
-SLICE = 4000
+#: Documents of which one stands for the others that share a part, and parts of theirs, that are looked at at once.
+SLICE, SLICE_PARTS = 4000, 500_000
 #: Rows without a doc_id get numbers from here on.
 NAMELESS = (1 << 63) - (1 << 42)
 
@@ -188,8 +189,9 @@ def contents(rows: DataFrame) -> DataFrame:
     def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.held("parts", dict)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                slice_ = batch.slice(at, SLICE)
+            step = max(1, min(SLICE, SLICE_PARTS * batch.num_rows // max(1, len(batch.column(1).flatten()))))
+            for at in range(0, batch.num_rows, step):
+                slice_ = batch.slice(at, step)
                 slice_ = slice_.take(pa.array(np.unique(slice_.column(0).to_numpy(), return_index=True)[1]))
                 lists = slice_.column(1)
                 counts = np.diff(lists.offsets.to_numpy())
@@ -325,7 +327,7 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("region", F.pmod(F.xxhash64("id", F.lit(-3)), F.lit(256))).orderBy(*turn))
     few = rows.select("region", "id").distinct().withColumn("rank", first).where(F.col("rank") <= PIVOTS).drop("rank")
     ranks = few.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(*turn))).where(F.col("rank") <= PIVOTS).drop("rank")
-    sizes = rows.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    sizes = rows.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).alias("chunks"))
     pivots = rows.join(ranks, ["region", "id"]).join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "id", "items")
     # written, so that both sides of the grouping below have columns of their own
     pivots = common.save(pivots.withColumn("chunk", F.col("chunk").cast("int")), "pivots")
