@@ -54,6 +54,14 @@ def drop(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of queries that are done: it waits for the driver to collect them."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _HELD: dict = {}
 
 

@@ -314,6 +314,11 @@ def joined_leaves(rows: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(links, "a long, b long")
 
 
+def sent(rows: DataFrame, n: int) -> DataFrame:
+    """Rows whose number is known: sent to all tasks while they are few, joined by shuffle beyond."""
+    return F.broadcast(rows) if n <= SENT_ROWS else rows
+
+
 def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     """Voronoi regions of pivots within each region of rows, and links to pivots.
 
@@ -327,7 +332,9 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("region", F.pmod(F.xxhash64("id", F.lit(-3)), F.lit(256))).orderBy(*turn))
     few = rows.select("region", "id").distinct().withColumn("rank", first).where(F.col("rank") <= PIVOTS).drop("rank")
     ranks = few.withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(*turn))).where(F.col("rank") <= PIVOTS).drop("rank")
-    sizes = rows.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).alias("chunks"))
+    sizes = common.save(rows.groupBy("region").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).alias("chunks")), "chunks")
+    n_regions = sizes.count()
+    sizes, ranks = sent(sizes, n_regions), sent(ranks, PIVOTS * n_regions)
     pivots = rows.join(ranks, ["region", "id"]).join(sizes, "region").select("region", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int"))).alias("chunk"), "id", "items")
     # written, so that both sides of the grouping below have columns of their own
     pivots = common.save(pivots.withColumn("chunk", F.col("chunk").cast("int")), "pivots")
@@ -351,7 +358,10 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
                     out.append((_region(region, marks[p][0]), i, n, items, region, root))
         return pd.DataFrame(out, columns=["region", "id", "n", "items", "from_region", "root"], dtype=object)
 
-    return dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(place, "region long, id long, n long, items binary, from_region long, root long")
+    placed = dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(place, "region long, id long, n long, items binary, from_region long, root long")
+    placed = common.save(placed, "regions")
+    common.drop(pivots)
+    return placed
 
 
 def _region(region: int, pivot: int) -> int:
@@ -377,6 +387,7 @@ def joined_blocks(rows: DataFrame, threshold: float) -> DataFrame:
     a, b = blocks.alias("a"), blocks.alias("b")
     pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & (F.col("a.block") <= F.col("b.block")) & ((F.col("a.key") != F.col("b.key")) | (F.col("a.key") == -1 << 62))).select("a.region", F.col("a.block").alias("x"), F.col("b.block").alias("y"), F.xxhash64("a.region", "a.block", "b.block").alias("pair"))
     pairs = common.save(pairs, "pairs")
+    listed, pairs = pairs, sent(pairs, pairs.count())
     left = pairs.alias("p").join(numbered.alias("n"), (F.col("p.region") == F.col("n.region")) & (F.col("x") == F.col("n.block"))).select("pair", F.lit(0).alias("side"), "id", "items", "root")
     right = pairs.where("x <> y").alias("p").join(numbered.alias("n"), (F.col("p.region") == F.col("n.region")) & (F.col("y") == F.col("n.block"))).select("pair", F.lit(1).alias("side"), "id", "items", "root")
 
@@ -397,28 +408,46 @@ def joined_blocks(rows: DataFrame, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     dealt = left.unionByName(right).repartition(common.shuffle_partitions(spark), "pair").sortWithinPartitions("pair", "side", "id")
-    return dealt.mapInArrow(links, "a long, b long")
+    found = common.save(dealt.mapInArrow(links, "a long, b long"), "links")
+    common.drop(numbered)
+    common.drop(listed)
+    return found
 
 
 def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links that connect what all links connect, for rows of region, id, n and items."""
-    out, level = [], 0
+    """Links that connect what all links connect, for rows of region, id, n and items.
+
+    The links of a level are written before the next begins, so the sets of one level alone are on disk.
+    """
+    spark, out, level, held = rows.sparkSession, [], 0, None
     while True:
-        sizes = rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements"))
+        sizes = common.save(rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements")), "sizes")
+        n_regions = sizes.count()
         fits = (F.col("docs") <= LEAF_DOCS) & (F.col("elements") <= LEAF_ELEMENTS)
-        out.append(joined_leaves(rows.join(sizes.where(fits).select("region"), "region", "left_semi"), threshold))
+        within = lambda which, n=n_regions, sizes=sizes, rows=rows: rows.join(sent(sizes.where(which).select("region"), n), "region", "left_semi").select("region", "id", "n", "items")
+        out.append(common.save(joined_leaves(within(fits), threshold), "links"))
+        common.tidy(spark)
         large = sizes.where(~fits)
         if large.isEmpty():
             break
-        placed = common.save(split(rows.join(large.select("region"), "region", "left_semi").select("region", "id", "n", "items"), threshold, level), "regions")
+        placed = split(within(~fits), threshold, level)
+        if held:
+            common.drop(held)
+        held = placed
+        common.tidy(spark)
         out.append(placed.where("region IS NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))
+        out[-1] = common.save(out[-1], "links")
         # where a part is nearly as large as the whole, pivots do not help
         parts = placed.where("region IS NOT NULL").groupBy("from_region", "region").agg(F.count(F.lit(1)).alias("part"))
         stuck = parts.join(large.select(F.col("region").alias("from_region"), "docs"), "from_region").where("10 * part > 7 * docs").select("from_region").distinct()
+        stuck = sent(common.save(stuck, "stuck"), n_regions)
         whole = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_semi").groupBy("from_region", "id", "items").agg(F.first("n").alias("n"), F.min("root").alias("root"))
         out.append(joined_blocks(whole.withColumnRenamed("from_region", "region"), threshold))
+        common.tidy(spark)
         rows = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_anti").select("region", "id", "n", "items")
         level += 1
+    if held:
+        common.drop(held)
     links = out[0]
     for more in out[1:]:
         links = links.unionByName(more)
@@ -454,6 +483,7 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     head = F.min(F.when(F.col("leader").isNull(), F.col("id"))).over(Window.partitionBy("part"))
     led = contents(rows.where("n > 0")).select("id", F.coalesce("leader", head).alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
     groups = common.save(components(led), "groups")
+    common.tidy(docs.sparkSession)
     sketches, rows = rows, common.save(rows.select("doc_id", "n", "h1", "h2"), "sets")
     common.drop(sketches)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where("text IS NOT NULL")
