@@ -322,9 +322,9 @@ def sent(rows: DataFrame, n: int) -> DataFrame:
 def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     """Voronoi regions of pivots within each region of rows, and links to pivots.
 
-    Returns region, id, n, items, from_region, root (the pivot it is linked to, else itself) for every
-    region that a set belongs or has to be copied to; and rows with a region of null that hold links
-    (id, root).
+    Returns region, id, n, h, from_region, root (the pivot it is linked to, else itself) for every region that
+    a set belongs or has to be copied to; and rows with a region of null that hold links (id, root). The sets
+    themselves stay where they are: of rows, (region, id, h) finds them again.
     """
     spark = rows.sparkSession
     # the least hashes of parts of a region first, so that no task orders a whole one
@@ -343,7 +343,7 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
     def place(docs: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
         out = []
         marks = sorted(zip(near["id"], _sets(near["items"]), strict=True), key=lambda p: p[0])
-        for region, i, n, items in zip(docs["region"], docs["id"], docs["n"], docs["items"], strict=True):
+        for region, i, n, h, items in zip(docs["region"], docs["id"], docs["n"], docs["h"], docs["items"], strict=True):
             own = np.frombuffer(items, np.uint64)
             both = [len(np.intersect1d(own, p, assume_unique=True)) for _, p in marks]
             far = [1 - b / (len(own) + len(p) - b) for b, (_, p) in zip(both, marks, strict=True)]
@@ -352,13 +352,13 @@ def split(rows: DataFrame, threshold: float, level: int) -> DataFrame:
             root = marks[linked[0]][0] if linked else i
             for p in linked:
                 if marks[p][0] != i:
-                    out.append((None, i, n, None, region, marks[p][0]))
+                    out.append((None, i, n, h, region, marks[p][0]))
             for p, d in enumerate(far):
                 if d <= far[home] + 2 * (1 - threshold) + 1e-6:
-                    out.append((_region(region, marks[p][0]), i, n, items, region, root))
-        return pd.DataFrame(out, columns=["region", "id", "n", "items", "from_region", "root"], dtype=object)
+                    out.append((_region(region, marks[p][0]), i, n, h, region, root))
+        return pd.DataFrame(out, columns=["region", "id", "n", "h", "from_region", "root"], dtype=object)
 
-    placed = dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(place, "region long, id long, n long, items binary, from_region long, root long")
+    placed = dealt.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(place, "region long, id long, n long, h long, from_region long, root long")
     placed = common.save(placed, "regions")
     common.drop(pivots)
     return placed
@@ -420,31 +420,39 @@ def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
     The links of a level are written before the next begins, so the sets of one level alone are on disk.
     """
     spark, out, level, held = rows.sparkSession, [], 0, None
+    rows = rows.withColumn("h", F.xxhash64("items"))
+
+    def found_again(rows: DataFrame, placed: DataFrame) -> DataFrame:
+        """The sets of placed rows (from_region, id, h, ...)."""
+        few = placed.withColumnsRenamed({"id": "of", "h": "of_h"})
+        return rows.select(F.col("region").alias("at"), "id", "n", "h", "items").join(sent(few, few.count()), (F.col("at") == F.col("from_region")) & (F.col("id") == F.col("of")) & (F.col("h") == F.col("of_h")))
+
     while True:
         sizes = common.save(rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements")), "sizes")
         n_regions = sizes.count()
         fits = (F.col("docs") <= LEAF_DOCS) & (F.col("elements") <= LEAF_ELEMENTS)
-        within = lambda which, n=n_regions, sizes=sizes, rows=rows: rows.join(sent(sizes.where(which).select("region"), n), "region", "left_semi").select("region", "id", "n", "items")
+        within = lambda which, n=n_regions, sizes=sizes, rows=rows: rows.join(sent(sizes.where(which).select("region"), n), "region", "left_semi").select("region", "id", "n", "h", "items")
         out.append(common.save(joined_leaves(within(fits), threshold), "links"))
         common.tidy(spark)
         large = sizes.where(~fits)
         if large.isEmpty():
             break
         placed = split(within(~fits), threshold, level)
-        if held:
-            common.drop(held)
-        held = placed
         common.tidy(spark)
-        out.append(placed.where("region IS NULL").select(F.col("id").alias("a"), F.col("root").alias("b")))
-        out[-1] = common.save(out[-1], "links")
+        out.append(common.save(placed.where("region IS NULL").select(F.col("id").alias("a"), F.col("root").alias("b")), "links"))
+        placed = placed.where("region IS NOT NULL")
         # where a part is nearly as large as the whole, pivots do not help
-        parts = placed.where("region IS NOT NULL").groupBy("from_region", "region").agg(F.count(F.lit(1)).alias("part"))
+        parts = placed.groupBy("from_region", "region").agg(F.count(F.lit(1)).alias("part"))
         stuck = parts.join(large.select(F.col("region").alias("from_region"), "docs"), "from_region").where("10 * part > 7 * docs").select("from_region").distinct()
         stuck = sent(common.save(stuck, "stuck"), n_regions)
-        whole = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_semi").groupBy("from_region", "id", "items").agg(F.first("n").alias("n"), F.min("root").alias("root"))
-        out.append(joined_blocks(whole.withColumnRenamed("from_region", "region"), threshold))
+        roots = common.save(placed.join(stuck, "from_region", "left_semi").groupBy("from_region", "id", "h").agg(F.min("root").alias("root")), "roots")
+        out.append(joined_blocks(found_again(rows, roots).select(F.col("from_region").alias("region"), "id", "n", "items", "root"), threshold))
         common.tidy(spark)
-        rows = placed.where("region IS NOT NULL").join(stuck, "from_region", "left_anti").select("region", "id", "n", "items")
+        following = placed.join(stuck, "from_region", "left_anti").select("region", "from_region", "id", "h")
+        following = common.save(found_again(rows, following).select("region", "id", "n", "h", "items"), "following")
+        if held:
+            common.drop(held)
+        rows = held = following
         level += 1
     if held:
         common.drop(held)

@@ -49,23 +49,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(every_place)::BIGINT AS n_base,
 FROM named LEFT JOIN matched USING (row_id)"""
 
 
-def jaccard() -> str:
+def jaccard(words: int = 3, hundredths: int = 90) -> str:
+    """Classes and components; sets linked at so many hundredths keep one in common of the rarest shingles looked at."""
+    run = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
     return f"""
 WITH RECURSIVE words AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 sets AS (
-    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {run})) END AS s
     FROM words),
 class AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets GROUP BY list_sort(s)),
 shingle AS (SELECT id, len(s) AS n, unnest(s) AS g FROM class),
 seen AS (SELECT g, count(*) AS f FROM shingle GROUP BY g),
 ranked AS (SELECT id, n, g, row_number() OVER (PARTITION BY id ORDER BY f, g) AS place FROM shingle JOIN seen USING (g)),
--- of two linked sets, one tenth and one of the rarest shingles of each have one in common
-rarest AS (SELECT id, n, g FROM ranked WHERE place <= n // 10 + 1),
-pair AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM rarest a JOIN rarest b USING (g) WHERE a.id < b.id AND 10 * least(na, nb) >= 9 * greatest(na, nb)),
+rarest AS (SELECT id, n, g FROM ranked WHERE place <= n * {100 - hundredths} // 100 + 1),
+pair AS (SELECT DISTINCT a.id AS a, b.id AS b, a.n AS na, b.n AS nb FROM rarest a JOIN rarest b USING (g) WHERE a.id < b.id AND 100 * least(na, nb) >= {hundredths} * greatest(na, nb)),
 link AS (
     SELECT a, b FROM pair JOIN shingle x ON x.id = a JOIN shingle y ON y.id = b AND y.g = x.g
-    GROUP BY a, b, na, nb HAVING 100 * count(*) >= 90 * (na + nb - count(*))),
+    GROUP BY a, b, na, nb HAVING 100 * count(*) >= {hundredths} * (na + nb - count(*))),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 reached (id, least_id) AS (SELECT id, id FROM class UNION SELECT edge.b, least_id FROM reached JOIN edge ON edge.a = id WHERE least_id < edge.b),
 component AS (SELECT id, min(least_id) AS component_id FROM reached GROUP BY id)

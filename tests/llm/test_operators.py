@@ -19,7 +19,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat, decontamination, jaccard, licenses, mixing, quality, secrets, sharding, tokens, toxicity
+from evidentia.llm import chat, decontamination, jaccard, licenses, mixing, quality, secrets, sharding, sql, tokens, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = [f"w{i}" for i in range(60)] + ["the", "of", "and"] * 6
@@ -316,6 +316,19 @@ def test_jaccard(docs, rows, nothing, words, threshold):
         assert jaccard.near_duplicates(nothing, words, threshold).count() == 0
 
 
+def test_jaccard_by_sql(spark, monkeypatch):
+    """All links of a whole table, with groups beyond one task and regions that pivots split and do not split."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({sql.jaccard(5, 80)})").fetchall()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for most in (2000, 12):
+        monkeypatch.setattr(jaccard, "LEAF_DOCS", most)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, 5, 0.8).collect()} == want
+
+
 def test_jaccard_of_rows_without_an_id(spark):
     rng = random.Random(21)
     a, b, c = (prose(rng, 80) for _ in range(3))
