@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -54,6 +55,18 @@ def drop(df: DataFrame) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str):
+    """Within it, batches that go to Python workers hold so many bytes at most, beyond their last row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of queries that are done: it waits for the driver to collect them."""
     import gc

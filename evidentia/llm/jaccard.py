@@ -508,9 +508,11 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["region", "id", "n", "items"])
 
     active = texts.join(some, "id").select("region", "id", "text").mapInArrow(sets, "region long, id long, n long, items binary")
-    active = common.save(active, "active")
-    # repeated rows of one doc_id: one set each, all of them compared
-    linked = components(joined_regions(active, threshold))
+    with common.arrow_batches(docs.sparkSession, "16m"):  # sets are large, and all of a batch is held twice
+        active = common.save(active, "active")
+        # repeated rows of one doc_id: one set each, all of them compared
+        links = joined_regions(active, threshold)
+    linked = components(links)
     common.drop(active)
     known = by_set.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select("h1", "h2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = rows.select("doc_id", "n", "h1", "h2").join(known, ["h1", "h2", "n"], "left")
