@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +40,22 @@ class _Reader(HTMLParser):
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, n, text) of every block of text, numbered from 1; null and empty pages have none."""
+    """(page_id, n, text) of every block of text, numbered from 1; null and empty pages have none, null ids stay."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, html in zip(batch["page_id"], batch["html"], strict=True):
+            ids, numbers, texts = [], [], []
+            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html"), strict=True):
                 reader = _Reader()
-                reader.feed(html if isinstance(html, str) else "")
+                reader.feed(html.as_py() or "")
                 reader.close()
                 reader.close_block()
-                out += [(page, n, text) for n, text in enumerate(reader.found, 1)]
-            yield pd.DataFrame(out, columns=["page_id", "n", "text"]).astype({"page_id": "int64", "n": "int32", "text": "object"})
+                ids += [page] * len(reader.found)
+                numbers += range(1, len(reader.found) + 1)
+                texts += reader.found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], names=["page_id", "n", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(rows, "page_id long, n int, text string")
+    return pages.select("page_id", "html").mapInArrow(rows, "page_id long, n int, text string")
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -136,6 +136,11 @@ def test_html(spark):
     assert [(r.page_id, r.n, r.text) for r in html.blocks(pages).orderBy("page_id", "n").collect()] == [(1, 1, "a b"), (1, 2, "c")]
 
 
+def test_html_of_any_ids(spark):
+    rows = spark.createDataFrame([(None, "<p>a<p>b"), (9007199254740993, "c"), (1, None), (2, "")], "page_id long, html string").coalesce(1)
+    assert [tuple(r) for r in html.blocks(rows).collect()] == [(None, 1, "a"), (None, 2, "b"), (9007199254740993, 1, "c")]
+
+
 def test_rate_limit_stream_equals_batch(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, i % 3, base + dt.timedelta(minutes=7 * i)) for i in range(120)]
