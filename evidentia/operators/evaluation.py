@@ -70,9 +70,9 @@ def controls_lost(controls: Column, original: Column, masked: Column) -> Column:
 
 def edited(rows: DataFrame, edits: DataFrame, key: str, value: str) -> DataFrame:
     """rows with their value as the latest edit left it; edits (key, at, value) are only ever
-    added; of two at one time the greater value counts."""
+    added; of two at one time the greater value counts. An edit to null leaves null."""
     last = edits.groupBy(key).agg(F.max(F.struct("at", value))[value].alias("_new"), F.count(F.lit(1)).alias("n_edits"))
-    return rows.join(last, key, "left").withColumns({value: F.coalesce("_new", value), "n_edits": F.coalesce("n_edits", F.lit(0))}).drop("_new")
+    return rows.join(last, key, "left").withColumns({value: F.when(F.col("n_edits").isNull(), F.col(value)).otherwise(F.col("_new")), "n_edits": F.coalesce("n_edits", F.lit(0))}).drop("_new")
 
 
 def deleted_parents(parents: DataFrame, gone: DataFrame, key: str, restricting: DataFrame, optional: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -78,9 +78,11 @@ def conversation_touched(spark, sf_dir):
 
 def stage_share(spark, sf_dir):
     """Each user's events: their share of the value of their type, and the running total over time."""
-    by_type, order = Window.partitionBy("event_type"), Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    value = F.col("value").cast("decimal(18,2)")
-    return table(spark, sf_dir, "events").select("event_id", F.round(value.cast("double") / F.sum(value).over(by_type).cast("double"), 9).alias("share"), F.sum(value).over(order).cast("decimal(18,2)").alias("running"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value"))
+    sums = events.groupBy(F.col("event_type").alias("_type")).agg(F.sum("value").cast("double").alias("_whole"))
+    met = events.join(sums, F.col("event_type").eqNullSafe(F.col("_type")), "left")
+    return met.select("event_id", F.round(F.col("value").cast("double") / F.col("_whole"), 9).alias("share"), F.sum("value").over(order).cast("decimal(18,2)").alias("running"))
 
 
 QUERIES = {f.__name__: f for f in (json_in_prose, json_prefix_merge, calculation_diff, exact_match, upload_kinds, area_of_paragraph, addition_check, audit_rows, conversation_touched, stage_share)}

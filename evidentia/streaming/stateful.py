@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,22 +26,23 @@ def rate_limited(requests: DataFrame, limit: int = 5, seconds: int = 3600) -> Da
     """Adds admitted to requests (event_id, client, ts), ordered by ts and event_id within a client.
 
     Admission depends on earlier admissions, so a client's requests pass one task in order; they stream
-    through it in sorted batches with no more state than `limit` times.
+    through it in sorted batches with no more state than `limit` times. Requests without a client share one limit;
+    those without a time are refused.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client, recent = None, []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, recent = object(), []
         for batch in batches:
             out = []
-            for c, t in zip(batch["client"], batch["micros"], strict=True):
+            for c, t in zip(batch.column("client").to_pylist(), batch.column("micros").to_pylist(), strict=True):
                 if c != client:
                     client, recent = c, []
-                (ok,), recent = admit([t], recent, limit, seconds * 1_000_000)
+                (ok,), recent = ([False], recent) if t is None else admit([t], recent, limit, seconds * 1_000_000)
                 out.append(ok)
-            yield batch[["event_id", "client"]].assign(admitted=out)
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("client"), pa.array(out, pa.bool_())], names=["event_id", "client", "admitted"])
 
-    keyed = requests.select("event_id", "client", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return keyed.repartition("client").sortWithinPartitions("client", "micros", "event_id").mapInPandas(rows, "event_id long, client long, admitted boolean")
+    keyed = requests.select(F.col("event_id").cast("long"), F.col("client").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    return keyed.repartition("client").sortWithinPartitions("client", "micros", "event_id").mapInArrow(rows, "event_id long, client long, admitted boolean")
 
 
 def rate_limited_stream(requests: DataFrame, limit: int = 5, seconds: int = 3600) -> DataFrame:

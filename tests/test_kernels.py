@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import dates, money, pii
 from evidentia.functions import text as T
-from evidentia.operators import budget, metrics, retrieval, tables, verify
+from evidentia.operators import budget, evaluation, metrics, retrieval, tables, verify
 from evidentia.sources import html
 from evidentia.streaming import stateful
 
@@ -176,3 +176,16 @@ def test_quotes_of_any_length_and_with_hyphens(spark):
     got = sorted((r.item_id, r.doc_id) for r in verify.quotes_in(items, docs).collect())
     bare = lambda t: re.sub(r"\s+", " ", t).strip().lower().replace("-", "")
     assert got == [(i, d) for i, q in enumerate(quotes) for d, t in enumerate(texts) if bare(q) in bare(t)]
+
+
+def test_rate_limit_of_nulls_and_large_ids(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(9007199254740993 + i, c, at, "x") for i, c in enumerate([None, None, None, 9007199254740993, 1])] + [(5, 1, None, "x")]
+    got = {(r.event_id, r.client): r.admitted for r in stateful.rate_limited(spark.createDataFrame(rows, "event_id long, client long, ts timestamp, admitted string"), 2, 60).collect()}
+    assert got == {(9007199254740993, None): True, (9007199254740994, None): True, (9007199254740995, None): False, (9007199254740996, 9007199254740993): True, (9007199254740997, 1): True, (5, 1): False}
+
+
+def test_edit_to_null_counts(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
+    edits = spark.createDataFrame([(1, 1, "x"), (1, 2, None), (3, 1, "y")], "k int, at int, v string")
+    assert sorted(tuple(r) for r in evaluation.edited(rows, edits, "k", "v").select("k", "v", "n_edits").collect()) == [(1, None, 2), (2, "b", 0), (3, "y", 1)]
