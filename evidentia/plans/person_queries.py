@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import pii
-from evidentia.operators import names, spans
+from evidentia.operators import names, reinsertion, spans
 from evidentia.sources.tables import table, values
 
 
@@ -59,7 +59,20 @@ def masked_personal_data(spark, sf_dir):
     return out.select("doc_id", left.cast("long").alias("n_left"), F.coalesce(pii.leaks(F.regexp_replace("masked", pii.PLACEHOLDER, ""), F.map_filter("mapping", lambda _, v: F.length(v) > 9)), F.lit(False)).alias("leaks"), F.md5("restored").alias("restored_md5"))
 
 
-QUERIES = {f.__name__: f for f in (name_spans, personal_spans, personal_spans_chosen, masked_personal_data)}
+def reinsertion_integrity(spark, sf_dir):
+    """Masked letters whose placeholders come back damaged, by id: whole, in single brackets, without the last bracket,
+    in lower case with blanks, or lost; the values put back, and the share of the letter that then stands."""
+    kinds = ("none", "single brackets", "last bracket lost", "lower case and blanks", "placeholder lost")
+    damage = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.coalesce("doc_id", F.lit(0)) % len(kinds) + 1).cast("int"))
+    rows = pii.masked(_letters(spark, sf_dir), names.GIVEN_NAMES, 2026).withColumn("damage", damage)
+    inner = r"\[\[([A-Z_]+_[0-9]+)\]\]"
+    broken = F.when(F.col("damage") == kinds[1], F.regexp_replace("masked", inner, "[$1]")).when(F.col("damage") == kinds[2], F.regexp_replace("masked", inner, "[[$1]"))
+    broken = broken.when(F.col("damage") == kinds[3], F.regexp_replace("masked", inner, "[[ $1 ]]")).when(F.col("damage") == kinds[4], F.regexp_replace("masked", inner, "")).otherwise(F.col("masked"))
+    back = reinsertion.reinserted(rows.select("doc_id", "damage", F.size("mapping").alias("n_values"), broken.alias("text"), "mapping", F.col("restored").alias("original")))
+    return back.select("doc_id", "damage", "n_values", F.size("unknown").alias("n_unknown"), F.round("integrity", 6).alias("integrity"))
+
+
+QUERIES = {f.__name__: f for f in (name_spans, personal_spans, personal_spans_chosen, masked_personal_data, reinsertion_integrity)}
 
 # words with their places, joined with names times endings
 _NAMES = ", ".join(f"('{n}')" for n in names.GIVEN_NAMES)
