@@ -8,6 +8,7 @@ import hashlib
 import lzma
 import random
 import re
+import string
 import textwrap
 import time
 import tracemalloc
@@ -466,6 +467,26 @@ def test_secrets_beyond_what_is_held_of_a_run(monkeypatch):
         assert any(x.kind == 0 for x in secrets.scan_text(wrapped)[1]), at
 
 
+@pytest.mark.parametrize("way", ["base64", "lines", "escaped", "percent", "unicode", "wide", "wide lines"])
+def test_secrets_of_layers_encoded_in_more_than_is_held(monkeypatch, way):
+    monkeypatch.setattr(secrets, "PIECE", 1_000)
+    monkeypatch.setattr(secrets, "HELD", 5_000)
+    packed = gzip.compress(f"{' '.join(random.Random(5).choices(string.ascii_letters, k=30_000))} {SECRET} ".encode())  # coded by bits, so no part shows it
+    run = base64.b64encode(packed)
+    lines = b"\r\n".join(run[k : k + 76] for k in range(0, len(run), 76))
+    inside = {
+        "base64": run,
+        "lines": lines,
+        "escaped": lines.replace(b"\r\n", b"\\r\\n"),
+        "percent": "".join(f"%{b:02x}" for b in packed).encode(),
+        "unicode": "".join(f"\\u{b:04x}" for b in run).encode(),
+        "wide": run.decode().encode("utf-16-le"),
+        "wide lines": lines.decode().encode("utf-16-be"),
+    }[way]
+    text = "see " + base64.b64encode(gzip.compress(b"a b c \n" + inside + b" end\n")).decode()
+    assert (4, 0, len(text)) in secrets.scan_text(text)[1]
+
+
 @pytest.mark.parametrize("piece", ["a", "a.", "%4", "\\u", "\\u00", "aaaaaaaaaaaaaaaaaaaa\n", "password", "x\x9c"])
 def test_secrets_in_unbroken_texts_take_time_in_proportion(piece):
     text = piece * (1_000_000 // len(piece)) + "%41 \\u0041"
