@@ -50,7 +50,7 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrase = F.regexp_extract(F.lower("text"), "^(?:[^ ]+ ){3}([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+)", 1)
     patterns = table(spark, sf_dir, "benchmark").select(phrase.alias("pattern"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    return contains.pairs(patterns, texts).withColumnRenamed("id", "doc_id")
+    return contains.phrases(patterns, texts).withColumnRenamed("id", "doc_id")
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:

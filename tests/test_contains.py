@@ -67,3 +67,14 @@ def test_blocks_of_texts_end_with_a_text(monkeypatch):
         blocks = list(contains._blocks(iter(batches), known))
         assert all(a[-1] < b[0] for (a, _), (b, _) in zip(blocks, blocks[1:]))
         assert contains._best(queries, 4, iter(blocks), 5) == want
+
+
+def test_phrases(spark):
+    rng = random.Random(6)
+    some = ["a", "ab", "b", "", "ba.", "é"]
+    texts = [(i, " ".join(rng.choices(some, k=rng.randint(0, 30)))) for i in range(150)] + [(150, None), (151, "")]
+    patterns = [" ".join(rng.choices(some, k=n)) for n in (1, 2, 3, 3, 3, 4, 4, 5, 6, 8) for _ in range(4)] + ["", None, "a", " ", "  "]
+    for asked in (patterns, [p for p in patterns if p and p.count(" ") > 1]):
+        got = contains.phrases(spark.createDataFrame([(p,) for p in asked], "pattern string"), spark.createDataFrame(texts, "id long, text string"))
+        assert sorted(map(tuple, got.collect())) == sorted((p, i) for p in {p for p in asked if p} for i, t in texts if t and p in t)
+    assert "arrays_zip" not in got._jdf.queryExecution().optimizedPlan().toString()  # no grams where words do
