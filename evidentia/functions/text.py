@@ -80,10 +80,12 @@ def text_hash(text: Column) -> Column:
 
 
 def contained(needle: Column, hay: Column) -> Column:
-    """How a quote stands in its source: exact, with blanks collapsed, without hyphens, or null."""
+    """How a quote stands in its source: exact, with blanks collapsed or without hyphens, or null.
+
+    What stands there with blanks collapsed does so without hyphens as well, so this is asked once.
+    """
     bare = lambda c: F.replace(F.lower(collapsed(c)), F.lit("-"), F.lit(""))
     return (
         F.when(F.contains(hay, needle), F.lit("exakt"))
-        .when(F.contains(F.lower(collapsed(hay)), F.lower(collapsed(needle))), F.lit("normalisiert"))
         .when(F.contains(bare(hay), bare(needle)), F.lit("normalisiert"))
     )

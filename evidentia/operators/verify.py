@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
+from evidentia.operators import contains
 
 #: Confidence that a claim may keep when its quote is not found, or its chunk is unknown.
 CAP_NOT_FOUND, CAP_NO_CHUNK = 0.45, 0.35
-#: Words at the start of a quote whose last ones a source has to hold before it is compared.
+#: Words of the longest quotes that are looked for by single words.
 LEAD = 3
 
 
@@ -22,16 +23,13 @@ def quotes_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, status) of every quote (item_id, text) that stands in a document.
 
     Words within a quote stand whole in its source; the first may end and the last begin a longer word. So
-    the second and third word of a quote, or the second of three, meet the documents' in a hash join. A
+    the words within a quote meet the documents' by a hash (`contains.word_runs`), and the second of three by itself. A
     quote of one or two words meets the distinct words of all documents that hold its only word or begin
     with its second. Only documents found so are compared with the quote in full.
     """
     held = quotes.where("text IS NOT NULL").select("item_id", F.col("text").alias("quote"), _words(F.col("text")).alias("w"))
     worded = docs.where("text IS NOT NULL").select("doc_id", _words(F.col("text")).alias("w"))
-    lead = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(1, LEAD)])
-    long = held.where(F.size("w") > LEAD).select("item_id", "quote", lead(F.lit(0)).alias("key"))
-    runs = worded.where(F.size("w") >= LEAD).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - LEAD), lead))).alias("key"))
-    pairs = runs.join(long.select("key").distinct(), "key", "left_semi").join(long, "key").select("item_id", "doc_id", "quote").distinct()
+    pairs = contains.word_runs(held.where(F.size("w") > LEAD), worded.withColumnRenamed("doc_id", "id")).select("item_id", F.col("id").alias("doc_id"), "quote")
     short = held.where(F.size("w") <= LEAD)
     if not short.isEmpty():
         single = worded.select("doc_id", F.explode(F.array_distinct("w")).alias("word"))
@@ -40,8 +38,10 @@ def quotes_in(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         starts = single.select("word").distinct().join(F.broadcast(few), F.when(F.col("second").isNull(), F.contains("word", "first")).otherwise(F.startswith("word", "second")))
         keyed = three.unionByName(starts.select("item_id", "quote", "word"))
         pairs = pairs.unionByName(single.join(keyed, "word").select("item_id", "doc_id", "quote")).distinct()
-    found = pairs.join(docs.select("doc_id", "text"), "doc_id").select("item_id", "doc_id", T.contained(F.col("quote"), F.col("text")).alias("status"))
-    return found.where("status IS NOT NULL")
+    found = pairs.join(docs.select("doc_id", "text"), "doc_id")
+    # A filter on the status would tell it once more for each pair; an empty list has no row.
+    known = F.filter(F.array(T.contained(F.col("quote"), F.col("text"))), lambda s: s.isNotNull())
+    return found.select("item_id", "doc_id", F.explode(known).alias("status"))
 
 
 def verified(claims: DataFrame, chunks: DataFrame) -> DataFrame:

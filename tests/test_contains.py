@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from evidentia.operators import contains
+from evidentia.operators import contains, verify
 
 
 def test_pairs(spark):
@@ -78,3 +78,12 @@ def test_phrases(spark):
         got = contains.phrases(spark.createDataFrame([(p,) for p in asked], "pattern string"), spark.createDataFrame(texts, "id long, text string"))
         assert sorted(map(tuple, got.collect())) == sorted((p, i) for p in {p for p in asked if p} for i, t in texts if t and p in t)
     assert "arrays_zip" not in got._jdf.queryExecution().optimizedPlan().toString()  # no grams where words do
+
+
+def test_quotes_are_compared_once_a_pair(spark):
+    docs = spark.createDataFrame([(1, "One two  three four-teen five six seven."), (2, "one two three"), (3, None)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "wo two three fourteen fi"), (2, "ne two  three four-teen five six"), (3, "two three four"), (4, "six two one of them all"), (5, None)], "item_id long, text string")
+    got = verify.quotes_in(quotes, docs)
+    assert sorted(map(tuple, got.collect())) == [(2, 1, "exakt"), (3, 1, "normalisiert")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_replace" in line for line in plan.splitlines() if "Join" in line)
