@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.automaton import Automaton
+from evidentia.functions import batches
 from evidentia.operators import names as gazetteer
 
 _BLANK = "[ \\t\\n]?"  # single blanks that groups of digits may be printed with
@@ -58,9 +58,60 @@ _AGE = re.compile("\\(?[ ]?(?:ca\\. )?[0-9]{1,3} (?:Jahre|J\\.)")
 _ADDED = f"{_JOINER} \\(ca\\. -?[0-9]+ Jahre\\){_JOINER}"
 
 
+#: The same patterns for a search that skips to a first character: \b comes behind it, as a look back.
+_FAST = {
+    kind: re.compile(p)
+    for kind, p in (PATTERNS | {
+        "BG_NUMMER": f"[0-9](?<=\\b[0-9])[0-9]{{4}}{_BLANK}//?{_digits(7)}\\b",
+        "IBAN": f"DE(?<=\\bDE){_digits(20)}\\b",
+        "SV_NUMMER": f"[0-9](?<=\\b[0-9])[0-9]{_BLANK}[0-8][0-9]{_BLANK}[01][0-9]{_BLANK}[0-9]{{2}}{_BLANK}[A-Z]{_digits(3)}\\b",
+        "TELEFON": "[+0](?:(?:(?<=\\+)|(?<=\\b0)0)49[ /-]?(?:\\(0\\)[ /-]?)?|(?<=\\b0))[1-9][0-9]{1,4}\\)?(?: ?[ /-]?[0-9]){3,10}\\b",
+        "STEUER_ID": f"[1-9](?<=\\b[1-9])[0-9](?:{_BLANK}[0-9]{{3}}){{3}}\\b",
+        "GEBURTSDATUM": r"[Gg*](?:(?<=[Gg])eb(?:oren am|\.|urtsdatum:?)|(?<=\*)) ?([0-9]{1,2}\. ?[0-9]{1,2}\. ?(?:[0-9]{4}|[0-9]{2}))",
+    }).items()
+}
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789!#$%&*+/=?^_{|}~-.")
+_DOMAIN = re.compile(PATTERNS["EMAIL"].partition("@")[2])
+_NUMBER = re.compile("[0-9]+")
+_STREETS = tuple(f"{c}{w[1:]}" for w in ("straße", "strasse", "str.", "allee", "platz", "gasse", "weg", "ring", "damm", "ufer") for c in (w[0], w[0].upper()))
+
+
+def _emails(text: str) -> Iterator[re.Match]:
+    """Matches around every @ that a domain follows; what stands before it reaches back to a character of no address."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        if domain := _DOMAIN.match(text, at + 1):
+            start = at
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
+            # one character more, for the bound behind it
+            if m := _FAST["EMAIL"].search(text, start, domain.end() + 1):
+                yield m
+                done = m.end()
+        at = text.find("@", at + 1)
+
+
+def _addresses(text: str) -> Iterator[re.Match]:
+    """Matches around every number that a street's last word stands before; at most four blanks come before that word."""
+    done = before = 0
+    for number in _NUMBER.finditer(text):
+        at = number.start()
+        word = at - (at > 0 and text[at - 1] == " ")
+        if at >= done and text.endswith(_STREETS, max(before, word - 7), word):
+            start = word - 3
+            for _ in range(5):
+                start = text.rfind(" ", before, max(before, start))
+                if start < 0:
+                    break
+            if (m := _FAST["ADRESSE"].search(text, max(start + 1, before, done), at + 12)) and m.start() < at:
+                yield m
+                done = m.end()
+        before = number.end()
+
+
 def found_in(text: str, kind: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the values that a detector finds, from left to right."""
-    for m in re.finditer(PATTERNS[kind], text):
+    for m in _emails(text) if kind == "EMAIL" else _addresses(text) if kind == "ADRESSE" else _FAST[kind].finditer(text):
         if kind != "ADRESSE" or not re.search(AUTHORITY, m[0]):
             yield m.span(m.re.groups)
 
@@ -117,13 +168,16 @@ def masked(docs: DataFrame, names: Iterable[str] = (), year: int | None = None)
     """
     known = gazetteer.forms(names)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(known)
-        persons = lambda text: ((a, b) for a, b, _ in gazetteer.spans_in(text, automaton, known))
-        for batch in batches:
-            found = [mask_text(t.as_py() or "", persons if known else None, year) for t in batch.column("text")]
-            mappings = pa.array([list(v.items()) for _, v in found], pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([m for m, _ in found], pa.string()), mappings, pa.array([unmask_text(m, v) for m, v in found], pa.string())], names=["doc_id", "masked", "mapping", "restored"])
+    schema = pa.schema([("doc_id", pa.int64()), ("masked", pa.string()), ("mapping", pa.map_(pa.string(), pa.string())), ("restored", pa.string())])
+
+    def rows(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = gazetteer.finder(known)
+        persons = lambda text: ((a, b) for a, b, _ in spans(text))
+        for batch in read:
+            for part in batches.slices(batch):
+                found = [mask_text(t or "", persons if known else None, year) for t in part.column("text").to_pylist()]
+                columns = ([m for m, _ in found], [list(v.items()) for _, v in found], [unmask_text(m, v) for m, v in found])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, masked string, mapping map<string,string>, restored string")
 
@@ -135,21 +189,23 @@ def detected(docs: DataFrame, names: Iterable[str] = ()) -> DataFrame:
     """
     known = gazetteer.forms(names)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(known)
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for rank, kind in enumerate(PATTERNS):
-                    out += [(doc_id, a, b, rank, kind) for a, b in found_in(text or "", kind)]
-                out += [(doc_id, a, b, len(PATTERNS), "PERSON") for a, b, _ in gazetteer.spans_in(text or "", automaton, known)]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string())
-            columns = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "rank", "kind"])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("rank", pa.int32()), ("kind", pa.string())])
+
+    def rows(read: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = gazetteer.finder(known)
+
+        def found(text: str) -> Iterator[tuple]:
+            for rank, kind in enumerate(PATTERNS):
+                yield from ((a, b, rank, kind) for a, b in found_in(text, kind))
+            yield from ((a, b, len(PATTERNS), "PERSON") for a, b, _ in spans(text))
+
+        for batch in read:
+            yield from batches.row_batches(batch, found, schema)
 
     return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, start int, end int, rank int, kind string")
 
 
 def leaks(masked: Column, mapping: Column) -> Column:
     """Whether a masked value of two characters or more still stands in the text."""
-    return F.exists(F.map_values(mapping), lambda v: (F.length(v) >= 2) & F.contains(F.lower(masked), F.lower(v)))
+    held = lambda text: F.exists(F.map_values(mapping), lambda v: (F.length(v) >= 2) & F.contains(text, F.lower(v)))
+    return F.exists(F.array(F.lower(masked)), held)  # a text of its own, else it is lower-cased again for every value
