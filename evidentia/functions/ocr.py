@@ -14,7 +14,9 @@ WEIGHTS = {"letters": 0.30, "readable": 0.30, "german": 0.25, "structure": 0.15}
 LEVELS = ((0.8, "good"), (0.5, "acceptable"), (0.3, "poor"))
 
 SPECIALS = r"[@#$%^&*=_+{}\[\]|\\<>~`]"
-ARTEFACTS = r"[0-9][Oo]|[Oo][0-9]|[^0-9]l[0-9]|[0-9]l[0-9]|[a-zäöüß]-[ \t\r]*\n[a-zäöüß]"
+# digits beside an O or after an l that is not the first character, and words parted at the end of a line; both are
+# searched from their rarest character on, as five choices at every character took most of the time
+ARTEFACTS = (r"[0-9](?:[Oo]|(?<=[Oo][0-9])|(?<=(?s:.)l[0-9]))", r"-(?<=[a-zäöüß]-)[ \t\r]*\n[a-zäöüß]")
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -27,16 +29,16 @@ def assessed(docs: DataFrame) -> DataFrame:
     Empty and null texts score nothing and fail the gate.
     """
     text = F.trim(F.coalesce(F.col("text"), F.lit("")))
-    solid = F.regexp_replace("_t", "[ \\n\\t]", "")
+    without = lambda chars: F.length(F.regexp_replace("_t", f"[{chars}]+", ""))
     words, low = F.regexp_extract_all("_t", F.lit("[a-zäöüßA-ZÄÖÜ]{2,}"), F.lit(0)), F.regexp_extract_all(F.lower("_t"), F.lit("[a-zäöüß]+"), F.lit(0))
     known = lambda w: w.isin(*FUNCTION_WORDS)
-    out = docs.withColumn("_t", text).withColumns({"_solid": F.length(solid), "_words": F.transform(words, lambda w: F.lower(w)), "_low": low})
+    out = docs.withColumn("_t", text).withColumns({"_solid": without(" \\n\\t"), "_words": F.transform(words, lambda w: F.lower(w)), "_low": low})
     out = out.withColumns({
-        "letters": _share(F.col("_solid") - F.length(F.regexp_replace(solid, "[\\p{L}]", "")), F.col("_solid")),
-        "garbage": _share(F.length(F.regexp_replace(solid, "[^@#$%^&*=_+{}\\[\\]|\\\\<>~`\\p{Cntrl}]", "")), F.col("_solid")),
+        "letters": _share(F.col("_solid") - without("\\p{L} \\n\\t"), F.col("_solid")),
+        "garbage": _share(without("[^@#$%^&*=_+{}\\[\\]|\\\\<>~`\\p{Cntrl}] \\n\\t"), F.col("_solid")),
         "readable": _share(F.size(F.filter("_words", lambda w: known(w) | ((F.length(w) > 2) & F.rlike(w, F.lit("[aeiouäöü]"))))), F.size("_words")),
         "german": _share(F.size(F.filter("_low", known)), F.size("_low")),
-        "artefacts": F.rlike("_t", F.lit(ARTEFACTS)) | F.rlike("_t", F.lit(SPECIALS)),
+        "artefacts": F.rlike("_t", F.lit(SPECIALS)) | F.rlike("_t", F.lit(ARTEFACTS[0])) | F.rlike("_t", F.lit(ARTEFACTS[1])),
     })
     umlauts = F.rlike("_t", F.lit("[äöüßÄÖÜ]"))
     score = (
