@@ -17,12 +17,18 @@ def interview_sessions(spark: SparkSession, sf_dir: str):
     return interviews.interviews(events, gap_seconds=4 * 3600, most_turns=4)
 
 
+#: Orders and lines that are cached in one partition, some 250 bytes each; given to repartition(), as Spark would join partitions by their size in a shuffle, a seventh of that.
+PART_ROWS = 250_000
+
+
 def case_fan_out(spark, sf_dir):
     """Orders come as a stream, meet their lines and are written as cases with stages, claims, bindings and areas; the
     committed rows of all five tables, each with its place in the case and what it says."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_tax", "l_returnflag").alias("l"))
-    listed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("lines"))
+    n_parts = (lines.count() + table(spark, sf_dir, "orders").count()) // PART_ROWS + 1  # read from the files' footers
+    listed = lines.repartition(n_parts, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l")).alias("lines"))
     orders = spark.readStream.schema(table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parque[t]")  # as a pattern the table may be a file or a folder
+    orders = orders.repartition(n_parts, "o_orderkey")
     per_line = lambda f: F.transform("lines", f)
     cases = orders.join(listed, orders["o_orderkey"] == listed["l_orderkey"], "left").select(
         F.col("o_orderkey").alias("case_id"),

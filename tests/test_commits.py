@@ -61,3 +61,14 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     other = commits.fanned_out(stream(), folder, "another", commits.CASE_TABLES).trigger(availableNow=True).start()
     with pytest.raises(StreamingQueryException):
         other.awaitTermination(90)
+
+
+def test_tasks_of_cases_grow_in_number_and_not_in_size(spark, monkeypatch):
+    """Cached cases are dealt out by their number, whatever their size in a shuffle is; the rows stay the same."""
+    from evidentia.plans import stream_queries
+
+    few = stream_queries.case_fan_out(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(stream_queries, "PART_ROWS", 500, raising=False)
+    many = stream_queries.case_fan_out(spark, "/root/testdata/sf0.001")
+    assert len([f for f in many.inputFiles() if "/stages/" in f]) >= 12
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
