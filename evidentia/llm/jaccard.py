@@ -8,8 +8,11 @@
    region cannot be linked, so connected regions can be joined apart from each other.
 3. A connected group that is too large for one task is split by pivots from among its documents: each set
    belongs to the Voronoi region of its nearest pivot, and by the triangle inequality a set within twice the
-   radius of the border has to be copied to the region beyond it. Regions are split again until they fit;
-   one that pivots cannot split is joined in pairs of blocks.
+   radius of the border has to be copied to the region beyond it. Regions are split again until they fit.
+   One that pivots cannot split, as its sets are nearly all unlike each other, is compared by parity: the number
+   of parts that hold an odd number of elements of one set and an even one of the other is at most the number of
+   elements in which the sets differ. Sets that parity does not tell apart make the next regions; one that stays
+   nearly whole is joined in pairs of blocks.
 4. Groups that fit are joined exactly. Links within the group make sets one component, and only sets of
    different components still have to be compared.
 
@@ -40,6 +43,10 @@ SENT_ROWS = 500_000
 #: Documents looked at for shingles that many have, how many of these must have one, and how many such
 #: shingles are sent to the tasks at most. They only decide which parts say little; results are the same without.
 COMMON_SAMPLE, COMMON_DOCS, COMMON_MOST = 5000, 3, 400_000
+#: Sets whose parities one block holds, and bytes of these. Parities have a bit for every element or two.
+PARITY_DOCS, PARITY_BYTES, PARITY_LEAST, PARITY_MOST = 8000, 2_000_000, 256, 1 << 20
+#: Elements that are looked up at once, and bytes of a batch of sets or texts on its way to a worker.
+LOOKED_UP, BATCH = 200_000, "4m"
 #: Words whose hashes a worker remembers.
 CACHE = 300_000
 
@@ -229,8 +236,14 @@ def components(edges: DataFrame) -> DataFrame:
         last = sums
 
 
-def _shared(items: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """How many elements of own each of the sets laid end to end in items holds."""
+def _cuts(sizes: np.ndarray) -> np.ndarray:
+    """Where to cut sets of these sizes, so that about LOOKED_UP elements stand between two cuts."""
+    return np.nonzero(np.diff(np.cumsum(sizes) // LOOKED_UP))[0] + 1
+
+
+def _shared(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """How many elements of own each of the sets holds."""
+    items, bounds = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
     at = np.searchsorted(own, items)
     hit = own[np.minimum(at, len(own) - 1)] == items
     sums = np.concatenate([[0], np.cumsum(hit)])
@@ -254,8 +267,7 @@ class Group:
             near = near[np.abs(d[near] - d[x]) <= 1 - self.t + 1e-6]
         if not len(near):
             return
-        bounds = np.concatenate([[0], np.cumsum(self.sizes[near])])
-        both = _shared(np.concatenate([self.sets[i] for i in near]), bounds, self.sets[x])
+        both = np.concatenate([_shared([self.sets[i] for i in some], self.sets[x]) for some in np.split(near, _cuts(self.sizes[near]))])
         linked = near[100 * both >= round(100 * self.t) * (self.sizes[near] + self.sizes[x] - both)]
         if len(near) == len(self.ids) - 1 and len(self.distances) < 3:  # x serves as a pivot for the rest
             d = np.zeros(len(self.ids))
@@ -370,8 +382,104 @@ def _region(region: int, pivot: int) -> int:
     return xxhash.xxh3_64_intdigest(f"{region} {pivot}") - (1 << 63)
 
 
+class Parity:
+    """For the parts of the universe, whether each holds an odd number of a set's elements.
+
+    Sets have as many parts as their class of size asks for. Linked sets are of one class or of two that follow
+    each other; halves laid over each other give the parity of half as many parts.
+    """
+
+    def __init__(self, threshold: float):
+        self.t, self.log = round(100 * threshold), np.log(max(1.3, 1.02 / threshold))
+
+    def of_size(self, n: int) -> int:
+        return int(np.log(n) / self.log)
+
+    def __call__(self, items: np.ndarray) -> bytes:
+        most = min(max(np.exp(self.log * (self.of_size(len(items)) + 1)), PARITY_LEAST), PARITY_MOST)
+        parts = 1 << ceil(np.log2(most))
+        part = (mixed(items ^ _P[2]) & np.uint64(parts - 1)).astype(np.int64)
+        return np.packbits((np.bincount(part, minlength=parts) & 1).astype(bool), bitorder="little").tobytes()
+
+    def near(self, left: tuple, right: tuple | None) -> Iterator[tuple[int, int]]:
+        """Pairs that connect what parity does not tell apart, of (nodes, sizes, parities) of one class each."""
+        sides = [x for x in (left, right) if x is not None]
+        nodes = np.concatenate([np.array(x[0], np.int64) for x in sides])
+        root = np.unique(nodes, return_inverse=True)[1]
+        bits = [np.frombuffer(b"".join(x[2]), np.uint64).reshape(len(x[0]), -1) for x in sides]
+        width = min(b.shape[1] for b in bits)
+        for k, b in enumerate(bits):
+            while b.shape[1] > width:
+                b = b[:, : b.shape[1] // 2] ^ b[:, b.shape[1] // 2 :]
+            bits[k] = b
+        others = np.argsort(sides[-1][1], kind="stable")  # a set meets those of sizes that could be linked to its own
+        sizes, at = np.array(sides[-1][1], np.int64)[others], others + (len(left[0]) if right is not None else 0)
+        laid = np.ascontiguousarray(bits[-1][others].T)
+        for x, n in enumerate(left[1]):
+            lo, hi = np.searchsorted(sizes, ceil(n * self.t / 100 - 1e-6)), np.searchsorted(sizes, n * 100 / self.t + 1e-6, "right")
+            if right is None:  # the larger one meets the smaller one, or an equal one
+                hi = np.searchsorted(sizes, n, "right")
+            apart = np.bitwise_count(laid[:, lo:hi] ^ bits[0][x][:, None]).sum(axis=0, dtype=np.int64)
+            alike = at[lo:hi][apart * (100 + self.t) <= (sizes[lo:hi] + n) * (100 - self.t)]
+            for y in alike[root[alike] != root[x]]:
+                if root[y] != root[x]:
+                    yield int(nodes[x]), int(nodes[y])
+                    root[root == root[y]] = root[x]
+
+
+def told_apart(rows: DataFrame, threshold: float) -> DataFrame:
+    """Regions of sets within each region of rows that parity does not tell apart: region, from_region, id, n, h, items.
+
+    Every set of a region meets every other of its size, but by parities alone: a bit or two for each element of
+    eight bytes. What stands alone is left out.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("region", "id", "n", "h", "items", F.xxhash64("region", "id", "h").alias("node"))
+
+    def parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("links", dict)
+        parity = Parity(threshold)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = _sets(part.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array([parity.of_size(len(s)) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary())], names=["region", "node", "n", "class", "bits"])
+
+    bits = common.save(rows.where("n > 0").select("region", "node", "n", "items").mapInArrow(parities, "region long, node long, n long, class int, bits binary"), "parities")
+    counts = bits.groupBy("region", "class").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PARITY_DOCS), F.ceil(F.sum(F.length("bits")) / PARITY_BYTES)).cast("int").alias("blocks"))
+    counts = common.save(counts, "counts")
+    blocks = counts.select("region", "class", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    meet = ((F.col("a.class") == F.col("b.class")) & (F.col("a.block") <= F.col("b.block"))) | (F.col("a.class") + 1 == F.col("b.class"))
+    pairs = a.join(b, (F.col("a.region") == F.col("b.region")) & meet).select("a.region", F.col("a.class").alias("x_class"), F.col("a.block").alias("x"), F.col("b.class").alias("y_class"), F.col("b.block").alias("y"))
+    pairs = common.save(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
+    known, listed = sent(counts, counts.count()), sent(pairs, pairs.count())
+    dealt = bits.join(known, ["region", "class"]).select("region", "class", F.pmod(F.xxhash64("node", F.lit(-4)), F.col("blocks")).cast("int").alias("block"), "node", "n", "bits")
+
+    def side(number: int, which: DataFrame, kind: str, block: str) -> DataFrame:
+        on = (F.col("p.region") == F.col("d.region")) & (F.col(kind) == F.col("d.class")) & (F.col(block) == F.col("d.block"))
+        return dealt.alias("d").join(which.alias("p"), on).select("pair", F.lit(number).alias("side"), "node", "n", "bits")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.held("links", dict)
+        parity = Parity(threshold)
+        every = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(every, key=lambda r: r[0]):
+            sides = {number: list(zip(*(r[2:] for r in of), strict=True)) for number, of in groupby(group, key=lambda r: r[1])}
+            found = list(parity.near(sides[0], sides.get(1))) if 0 in sides else []  # a block may be empty
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    both = side(0, listed, "x_class", "x").unionByName(side(1, listed.where("x_class <> y_class OR x <> y"), "y_class", "y"))
+    met = both.repartition(common.shuffle_partitions(spark), "pair").sortWithinPartitions("pair", "side")
+    found = components(met.mapInArrow(near, "a long, b long"))
+    for done in (bits, counts, pairs):
+        common.drop(done)
+    found = sent(found.select(F.col("node").alias("of"), "component"), found.count())
+    return rows.join(found, F.col("node") == F.col("of")).select(F.col("component").alias("region"), F.col("region").alias("from_region"), "id", "n", "h", "items")
+
+
 def joined_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links within regions that pivots do not split, by pairs of blocks; rows has root besides.
+    """Links within regions that neither pivots nor parity split, by pairs of blocks; rows has root besides.
 
     Sets linked to the same pivot are one component already, so blocks are made of one root's sets and only
     blocks that differ in root meet, or that hold sets without one.
@@ -420,7 +528,7 @@ def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
     The links of a level are written before the next begins, so the sets of one level alone are on disk.
     """
     spark, out, level, held = rows.sparkSession, [], 0, None
-    rows = rows.withColumn("h", F.xxhash64("items"))
+    rows = rows.withColumn("h", F.xxhash64("items")).withColumn("told", F.lit(False))
 
     def found_again(rows: DataFrame, placed: DataFrame) -> DataFrame:
         """The sets of placed rows (from_region, id, h, ...)."""
@@ -428,7 +536,7 @@ def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
         return rows.select(F.col("region").alias("at"), "id", "n", "h", "items").join(sent(few, few.count()), (F.col("at") == F.col("from_region")) & (F.col("id") == F.col("of")) & (F.col("h") == F.col("of_h")))
 
     while True:
-        sizes = common.save(rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements")), "sizes")
+        sizes = common.save(rows.groupBy("region").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("elements"), F.max("told").alias("told")), "sizes")
         n_regions = sizes.count()
         fits = (F.col("docs") <= LEAF_DOCS) & (F.col("elements") <= LEAF_ELEMENTS)
         within = lambda which, n=n_regions, sizes=sizes, rows=rows: rows.join(sent(sizes.where(which).select("region"), n), "region", "left_semi").select("region", "id", "n", "h", "items")
@@ -443,13 +551,25 @@ def joined_regions(rows: DataFrame, threshold: float) -> DataFrame:
         placed = placed.where("region IS NOT NULL")
         # where a part is nearly as large as the whole, pivots do not help
         parts = placed.groupBy("from_region", "region").agg(F.count(F.lit(1)).alias("part"))
-        stuck = parts.join(large.select(F.col("region").alias("from_region"), "docs"), "from_region").where("10 * part > 7 * docs").select("from_region").distinct()
-        stuck = sent(common.save(stuck, "stuck"), n_regions)
-        roots = common.save(placed.join(stuck, "from_region", "left_semi").groupBy("from_region", "id", "h").agg(F.min("root").alias("root")), "roots")
-        out.append(joined_blocks(found_again(rows, roots).select(F.col("from_region").alias("region"), "id", "n", "items", "root"), threshold))
-        common.tidy(spark)
-        following = placed.join(stuck, "from_region", "left_anti").select("region", "from_region", "id", "h")
-        following = common.save(found_again(rows, following).select("region", "id", "n", "h", "items"), "following")
+        whole = large.select(F.col("region").alias("from_region"), "docs", "told")
+        stuck = common.save(parts.join(whole, "from_region").where("10 * part > 7 * docs").select("from_region", "told").distinct(), "stuck")
+        alike, unlike = stuck.where("told"), stuck.where("NOT told")
+        following = found_again(rows, placed.join(sent(stuck, n_regions), "from_region", "left_anti").select("region", "from_region", "id", "h"))
+        following = following.select("region", "id", "n", "h", "items", F.lit(False).alias("told"))
+        if not unlike.isEmpty():
+            of = sent(unlike.select(F.col("from_region").alias("region")), n_regions)
+            closer = told_apart(rows.join(of, "region", "left_semi"), threshold)
+            common.tidy(spark)
+            # parity is not asked again where it leaves a region nearly whole
+            kept = closer.groupBy("from_region", "region").agg(F.count(F.lit(1)).alias("part")).join(whole.drop("told"), "from_region").where("10 * part > 7 * docs")
+            kept = common.save(kept.select(F.col("region").alias("whole")), "whole")
+            closer = closer.join(sent(kept, n_regions), F.col("region") == F.col("whole"), "left")
+            following = following.unionByName(closer.select("region", "id", "n", "h", "items", F.col("whole").isNotNull().alias("told")))
+        if not alike.isEmpty():
+            roots = common.save(placed.join(sent(alike, n_regions), "from_region", "left_semi").groupBy("from_region", "id", "h").agg(F.min("root").alias("root")), "roots")
+            out.append(joined_blocks(found_again(rows, roots).select(F.col("from_region").alias("region"), "id", "n", "items", "root"), threshold))
+            common.tidy(spark)
+        following = common.save(following, "following")
         if held:
             common.drop(held)
         rows = held = following
@@ -484,6 +604,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8) ->
 
 def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """As near_duplicates(), with row_key() for doc_id."""
+    with common.arrow_batches(docs.sparkSession, BATCH):  # sets are large, and all of a batch is held twice
+        return _joined(docs, words, threshold)
+
+
+def _joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
     docs = docs.select(row_key().alias("doc_id"), "text")
     rows = common.save(sketched(docs, words, threshold), "sketches")
     by_set = common.save(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -508,10 +633,9 @@ def joined(docs: DataFrame, words: int, threshold: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["region", "id", "n", "items"])
 
     active = texts.join(some, "id").select("region", "id", "text").mapInArrow(sets, "region long, id long, n long, items binary")
-    with common.arrow_batches(docs.sparkSession, "16m"):  # sets are large, and all of a batch is held twice
-        active = common.save(active, "active")
-        # repeated rows of one doc_id: one set each, all of them compared
-        links = joined_regions(active, threshold)
+    active = common.save(active, "active")
+    # repeated rows of one doc_id: one set each, all of them compared
+    links = joined_regions(active, threshold)
     linked = components(links)
     common.drop(active)
     known = by_set.join(linked.withColumnRenamed("node", "class_id"), "class_id", "left").select("h1", "h2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -29,8 +29,9 @@ RANK_BITS = 512
 BLOCK_TOKENS = 1 << 18
 #: Words up to this length are kept in a worker's memory, at most so many of them.
 CACHE_CHARS, CACHE_WORDS = 40, 500_000
-#: Bytes of text whose words are looked up together.
-SLICE_BYTES = 5 << 20
+#: Bytes of text whose words are looked up together, new words that the tokenizer takes at once, and bytes of a batch of
+#: texts on its way to a worker.
+SLICE_BYTES, NEW_WORDS, BATCH = 4 << 20, 8192, "4m"
 
 BLOCKS = "shard int, block int, start_in_shard long, n_tokens long, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
@@ -130,9 +131,16 @@ class WordEncoder:
         self.begin, self.count, self.met = sums.astype(np.int32), count, np.zeros(len(held), np.int32)
 
     def _each(self, words: list[str]) -> dict[str, bytes]:
-        return dict(zip(words, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)), strict=True))
+        ids = (np.array(e.ids, "<u4").tobytes() for at in range(0, len(words), NEW_WORDS) for e in self.tokenizer.encode_batch_fast(words[at : at + NEW_WORDS], add_special_tokens=False))
+        return dict(zip(words, ids, strict=True))
 
     def _runs(self, runs: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(runs), NEW_WORDS):
+            out |= self._together(runs[at : at + NEW_WORDS])
+        return out
+
+    def _together(self, runs: list[str]) -> dict[str, bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
         if len(cuts) != len(runs):
@@ -288,7 +296,8 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int
             yield flush()
 
     spark = docs.sparkSession
-    ids = common.save(encoded(docs, tokenizer_path, end_id), "token_ids", compression="zstd")
+    with common.arrow_batches(spark, BATCH):  # a worker holds a batch besides its words
+        ids = common.save(encoded(docs, tokenizer_path, end_id), "token_ids", compression="zstd")
     ordered = ids.repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
     out = common.save(ordered.mapInArrow(blocks, BLOCKS), "token_blocks", compression="zstd")
     common.drop(ids)

@@ -349,6 +349,27 @@ def test_jaccard_of_groups_that_no_task_may_hold(monkeypatch, docs, rows, elemen
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 5, 0.8)
 
 
+def test_parity_tells_no_linked_sets_apart():
+    rng = np.random.default_rng(5)
+    for threshold in (0.5, 0.8, 0.9):
+        parity = jaccard.Parity(threshold)
+        for _ in range(300):
+            n = int(np.exp(rng.uniform(0, 8)))
+            a = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+            b = np.unique(np.concatenate([a[int(rng.integers(0, max(1, (1 - threshold) * n) + 1)) :], rng.integers(0, 1 << 62, int(rng.integers(0, 0.3 * n + 2)), dtype=np.uint64)]))
+            a = np.unique(a)
+            both = len(np.intersect1d(a, b))
+            x, y = sorted([(parity.of_size(len(s)), k, s) for k, s in enumerate((a, b)) if len(s)], key=lambda s: s[0])[:2] if len(b) else (None, None)
+            if x and 100 * both >= round(100 * threshold) * (len(a) + len(b) - both):
+                assert y[0] - x[0] <= 1
+                one, two = (([s[1]], [len(s[2])], [parity(s[2])]) for s in (x, y))
+                assert list(parity.near(one, two)) == [(x[1], y[1])]
+                if x[0] == y[0]:
+                    assert len(list(parity.near(tuple(p + q for p, q in zip(one, two, strict=True)), None))) == 1
+        far = [np.unique(rng.integers(0, 1 << 62, 300, dtype=np.uint64)) for _ in range(50)]
+        assert threshold < 0.8 or not list(parity.near((list(range(50)), [300] * 50, [parity(s) for s in far]), None))
+
+
 def test_parts_keep_one_in_common():
     rng = np.random.default_rng(1)
     for threshold, least in ((0.9, 2), (0.8, 1), (0.5, 1)):
