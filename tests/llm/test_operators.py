@@ -5,6 +5,7 @@ import bz2
 import collections
 import gzip
 import hashlib
+import io
 import lzma
 import random
 import re
@@ -12,6 +13,7 @@ import string
 import textwrap
 import time
 import tracemalloc
+import zipfile
 import zlib
 from urllib.parse import quote
 
@@ -451,6 +453,60 @@ def test_secrets_of_two_bytes_a_character(monkeypatch, coding, before):
     assert any(x.kind == 0 for x in secrets.scan_text(base64.b64encode(gzip.compress(inner)).decode())[1])
 
 
+def _bare(data, level=9, strategy=zlib.Z_DEFAULT_STRATEGY):
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15, 9, strategy)
+    return packer.compress(data) + packer.flush()
+
+
+def _zipped(data):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("a.txt", data)
+    return out.getvalue()
+
+
+PLAIN = f"to whom it may concern: {SECRET} ends here".encode()
+LONG = b" ".join(str(k * k).encode() for k in range(700)) + PLAIN  # has codes of its own
+NOISE = random.Random(1).randbytes(3000)
+
+
+@pytest.mark.parametrize(
+    "packed",
+    [
+        gzip.compress(gzip.compress(PLAIN)),
+        gzip.compress(bz2.compress(lzma.compress(PLAIN))),
+        gzip.compress(b"first " + gzip.compress(PLAIN) + b" last"),
+        lzma.compress(zlib.compress(_bare(PLAIN))),
+        lzma.compress(PLAIN, format=lzma.FORMAT_ALONE),
+        _zipped(PLAIN),
+        gzip.compress(_zipped(LONG)),
+        *(before + _bare(data, level) + after for data in (PLAIN, LONG) for level in (1, 9) for before, after in ((b"", b"xyz"), (b"xyz", b""), (NOISE, NOISE))),
+        NOISE[:9] + _bare(NOISE[:500] + PLAIN, 9, zlib.Z_FIXED),
+        b"xyz" + _bare(LONG)[:-9],
+        b"xyz" + _bare(PLAIN)[:-2],
+        gzip.compress(PLAIN)[:-8] + bytes(8),
+        zlib.compress(LONG)[:-1] + b"\0",
+        lzma.compress(PLAIN, check=lzma.CHECK_CRC32)[:-40] + bytes(40),
+        gzip.compress(LONG + NOISE)[:-2000] + b"\xff" * 2000,
+    ],
+)
+def test_secrets_of_compressed_bytes_anywhere(monkeypatch, packed):
+    text = "see " + base64.b64encode(packed).decode() + " end"
+    wanted = [x for x in secrets.scan_text(text)[1] if x.kind == 0]
+    assert wanted and wanted[0].start == 4
+    monkeypatch.setattr(secrets, "PIECE", 100)
+    monkeypatch.setattr(secrets, "HELD", 1_000)
+    assert [x for x in secrets.scan_text(text)[1] if x.kind == 0] == wanted
+
+
+def test_arbitrary_bytes_are_no_compressed_secrets():
+    for seed in range(8):
+        data = random.Random(seed).randbytes(100_000)
+        assert not any(True for layer in secrets._opened(data) for _ in secrets._kinds(layer))
+        passed_over = sorted(set(range(30_000)) - set(secrets._bare_starts(data)))
+        assert not any(secrets._bare(memoryview(data), p, secrets._Passed()) for p in passed_over)
+
+
 def test_secrets_of_any_ids(spark):
     rows = [(None, SECRET), (9007199254740993, SECRET), (9007199254740993, SECRET), (-1, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("spans", "n_hex", "base_sha256")}).coalesce(1)
