@@ -32,9 +32,9 @@ def distances(queries: DataFrame, corpus: DataFrame, keep: int | None = None, be
     names = ["query_id", "chunk_id", "distance"]
 
     def unit(column) -> tuple[np.ndarray, np.ndarray]:
-        m = np.array(column.to_pylist(), dtype=np.float64)
-        norm = np.sqrt((m * m).sum(axis=1)) if m.size else np.zeros(len(m))
-        return m / np.where(norm > 0, norm, 1)[:, None] if m.size else m, norm > 0
+        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+        norm = np.sqrt((m * m).sum(axis=1))
+        return m / np.where(norm > 0, norm, 1)[:, None], norm > 0
 
     block: list = []
 
@@ -49,19 +49,19 @@ def distances(queries: DataFrame, corpus: DataFrame, keep: int | None = None, be
                 for at in range(0, batch.num_rows, 4096):
                     part = batch.slice(at, 4096)
                     m, real = unit(part.column(1))
-                    if not m.size:
-                        continue
                     chunk = part.column(0).to_numpy(zero_copy_only=False)
-                    far = np.round(1 - q @ m.T, 9)
+                    far = 1 - q @ m.T
                     far[:, ~real] = np.inf
                     far[ids[:, None] == chunk[None, :]] = np.inf
                     if below is not None:
-                        a, b = np.nonzero(far < below)
+                        a, b = np.nonzero(far < below + 2e-9)
                     else:
                         k = min(keep, far.shape[1])
                         bound = np.partition(far, k - 1, axis=1)[:, k - 1 : k]
-                        a, b = np.nonzero((far <= bound) & np.isfinite(far))  # ties at the bound stay for now
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(chunk[b]), pa.array(far[a, b])], names=names)
+                        a, b = np.nonzero(far <= bound + 2e-9)  # ties at the bound stay for now
+                    near = np.round(far[a, b], 9)
+                    real = np.isfinite(near) if below is None else near < below
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a][real]), pa.array(chunk[b][real]), pa.array(near[real])], names=names)
 
         return corpus.select(F.col("chunk_id").cast("long"), "embedding").where(F.size("embedding") > 0).mapInArrow(nearest, schema)
 

@@ -87,3 +87,46 @@ def test_quotes_are_compared_once_a_pair(spark):
     assert sorted(map(tuple, got.collect())) == [(2, 1, "exakt"), (3, 1, "normalisiert")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any("regexp_replace" in line for line in plan.splitlines() if "Join" in line)
+
+
+def test_keyword_hits_of_any_texts(spark, monkeypatch):
+    """Ids in any order, some given to several texts, long terms, few texts at a time; no word or term of a text is a row."""
+    for name, value in (("TEXTS", 40), ("WORDS", 300), ("LOOKED", 7), ("REMEMBERED", 20), ("HELD", 100)):
+        monkeypatch.setattr(contains, name, value)
+    rng = random.Random(9)
+    words = ["alpha", "Alphabetsuppe", "beta", "a×b", "gamma", "Straßenverkehrsordnung", "verkehrsordnungen", "delta", "ÿ", "aaaa"] + ["".join(rng.choices("abg", k=3)) for _ in range(40)]
+    texts = [(i * 7 % 300, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(320)] + [(None, "alpha"), (400, None)]
+    asked = ["alpha", "alphabetsupp", "bet", "×", "a×b", "gam", "verkehrsordnung", "straßenverkehrsordnung", "ÿ", "aa", "ab", "g", "none", "a b", "é"]
+    terms = sorted({(q, t) for q in (0, 7, 14, 299, 5000, 5001, 5002) for t in rng.sample(asked, 9)}) + [(6000, "a b"), (None, "a"), (6001, "")]
+    whole = {}
+    for c, text in texts:
+        if c is not None and text is not None:
+            whole[c] = f"{whole.get(c, '')} {text.lower()}"
+    want = []
+    for q in sorted({q for q, _ in terms if q is not None}):
+        hits = [(-sum(t in text for p, t in terms if p == q and t and t != "a b"), c) for c, text in whole.items() if c != q]
+        want += [(q, c, -n, rank) for rank, (n, c) in enumerate(sorted(h for h in hits if h[0])[:5], 1)]
+    got = contains.keyword_hits(spark.createDataFrame(terms, "query_id long, term string"), spark.createDataFrame(texts, "chunk_id long, text string"))
+    assert sorted((r.query_id, r.chunk_id, r.hits, r["rank"]) for r in got.collect()) == sorted(want)
+    unique = contains.keyword_hits(spark.createDataFrame(terms, "query_id long, term string"), spark.createDataFrame(sorted(whole.items()), "chunk_id long, text string"))
+    assert sorted(map(tuple, unique.select("query_id", "chunk_id", "hits", "rank").collect())) == sorted(want)
+    plan = unique._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "Join" not in plan
+
+
+def test_best_counts_blocks_in_any_order(monkeypatch):
+    rng = np.random.default_rng(5)
+    for held in (3, 10**6):
+        monkeypatch.setattr(contains, "HELD", held)
+        for share in (2, 40):  # frequent and rare terms
+            texts = rng.permutation(400)
+            blocks, has = [], {}
+            for at in range(0, 400, 90):
+                chosen = np.sort(texts[at : at + 90])
+                rows = [(c, t) for c in chosen for t in range(30) if rng.integers(share if t % 3 else 2) == 0 for _ in range(2)]
+                for c, t in rows:
+                    has.setdefault(int(c), set()).add(t)
+                blocks.append((np.array([c for c, _ in rows]), np.array([t for _, t in rows])))
+            queries = [(int(q), np.sort(rng.choice(30, rng.integers(1, 9), replace=False))) for q in rng.integers(0, 500, 40)]
+            want = [sorted((-n, c) for c, t in has.items() if c != q and (n := len(t & set(asked.tolist()))))[:5] for q, asked in queries]
+            assert contains._best(queries, 30, iter(blocks), 5) == want
